@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import drop_table, materialise, table
-from .token_ids import token_table
+from .token_ids import token_table, unit
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -122,8 +122,8 @@ def decode_block(block: bytes, slots: np.ndarray, table: tuple[np.ndarray, np.nd
     return np.concatenate([decode_segment(block, k, slots, table) for k in range(marks)]) if n else np.zeros(0, np.uint32)
 
 
-def count_ids(tokens: DataFrame) -> Frequencies:
-    """Frequencies over the whole table: one row per task and id, summed; the driver gets at most one
+def count_ids(tokens: DataFrame, kind: str) -> Frequencies:
+    """Frequencies over the whole table (ids stored as `kind`): one row per task and id, summed; the driver gets at most one
     row per id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def count_ids(tokens: DataFrame) -> Frequencies:
         for batch in batches:
             blob = batch.column("ids")
             for one in blob:
-                seen = np.bincount(np.frombuffer(one.as_buffer(), "<u4"))
+                seen = np.bincount(np.frombuffer(one.as_buffer(), kind))
                 if len(seen) > len(total):
                     total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
                 total[: len(seen)] += seen
@@ -145,7 +145,7 @@ def count_ids(tokens: DataFrame) -> Frequencies:
 BLOCK_SCHEMA = "shard int, block_no int, n_ids long, doc_ids array<long>, doc_sizes array<int>, body binary"
 
 
-def write_blocks(tokens: DataFrame, table: Frequencies, name: str = "rans") -> DataFrame:
+def write_blocks(tokens: DataFrame, table: Frequencies, kind: str, name: str = "rans") -> DataFrame:
     """Blocks of the table's documents in ascending doc_id (equal ids: by their tokens), written and
     opened again. Shards are ranges of doc_id, numbered in that order."""
 
@@ -163,7 +163,7 @@ def write_blocks(tokens: DataFrame, table: Frequencies, name: str = "rans") -> D
         held = 0
         for batch in batches:
             for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                one = np.frombuffer(blob.as_buffer(), "<u4")
+                one = np.frombuffer(blob.as_buffer(), kind)
                 docs.append(doc)
                 ids.append(one.copy())
                 held += len(one)
@@ -216,8 +216,9 @@ def round_trip(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     doc_ids each keep a row; a null doc_id sorts first. Columns besides doc_id and text are not read.
     """
     tokens = materialise(token_table(docs, path, end_id), "tokens")
-    table = count_ids(tokens)
-    blocks = write_blocks(tokens, table)
+    kind = unit(path)
+    table = count_ids(tokens, kind)
+    blocks = write_blocks(tokens, table, kind)
     drop_table(tokens)
     return with_starts(digest(read_blocks(blocks, table)), blocks)
 

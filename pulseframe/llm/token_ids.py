@@ -108,17 +108,24 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def unit(path: str) -> str:
+    """The NumPy type that holds every id of the vocabulary: two bytes where they suffice."""
+    return "<u2" if encoder(path).model.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def token_table(docs, path: str, end_id: int):
-    """doc_id and ids (little-endian unsigned 32-bit, `end_id` last) of every document."""
+    """doc_id and ids (`unit(path)`, `end_id` last) of every document."""
+    kind = unit(path)
+    size = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in slices(batches):
             ids, at = encode(batch.column("text"))
             n = batch.num_rows
-            whole = np.full(len(ids) + n, end_id, dtype="<u4")
+            whole = np.full(len(ids) + n, end_id, dtype=kind)
             whole[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(at))] = ids
-            offsets = ((at + np.arange(n + 1)) * 4).astype(np.int64)
+            offsets = ((at + np.arange(n + 1)) * size).astype(np.int64)
             blob = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blob.cast(pa.binary())], names=["doc_id", "ids"])
 
