@@ -9,7 +9,6 @@ parts that the vocabulary's own splitting makes of them.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,8 @@ import pyarrow.compute as pc
 
 from .textops import slices
 
-_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?|*&%$#@+=()\[\]{}<>/\"-]*)")
-CACHE_PARTS = 400_000
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?|*&%$#@+=()\[\]{}<>/\"-]*)$"
+CACHE_PARTS, SLICE, WORDS_A_CALL = 600_000, 8 << 20, 64
 
 
 class PieceEncoder:
@@ -41,19 +40,18 @@ class PieceEncoder:
         self.ids, self.bounds = [np.zeros(0, np.uint32)], [0, 0]
 
     def _encode_new(self, plain: list[str], other: list[str]) -> None:
-        ids = np.zeros(0, np.uint32)
         if plain:
-            ids = np.array(self.model.encode(" ".join(plain), add_special_tokens=False).ids, dtype=np.uint32)
+            calls = [" ".join(plain[i : i + WORDS_A_CALL]) for i in range(0, len(plain), WORDS_A_CALL)]
+            ids = np.array([i for one in self.model.encode_batch_fast(calls, add_special_tokens=False) for i in one.ids], dtype=np.uint32)
             last = np.flatnonzero(self.is_end[ids]) + 1
-            if len(last) != len(plain) or (len(ids) and last[-1] != len(ids)):
-                other, plain = plain + other, []  # a part that the model splits further
+            if len(last) != len(plain) or last[-1] != len(ids):
+                other = plain + other  # a part that the model splits further
             else:
                 self._add(plain, ids, last)
         if other:
             made = self.model.encode(other, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(made.ids, dtype=np.uint32)
             of = np.array(made.word_ids, dtype=np.int64)
-            self._add(other, ids, np.searchsorted(of, np.arange(len(other)), side="right"))
+            self._add(other, np.array(made.ids, dtype=np.uint32), np.searchsorted(of, np.arange(len(other)), side="right"))
 
     def _add(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         base, first = self.bounds[-1], len(self.bounds) - 1
@@ -65,38 +63,29 @@ class PieceEncoder:
         """All ids of the texts one after another, and the n + 1 offsets of the texts in them."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         pieces = split.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        parts = np.zeros((len(words), 2), dtype=np.int64)
         if len(self.number) > CACHE_PARTS:
             self._clear()
-        pairs, plain, other, number = [], {}, {}, self.number
-        for w in words:
-            low = w.lower()
-            m = _PLAIN.fullmatch(low)
-            if m:
-                a, b = m.groups()
-                if a not in number:
-                    plain[a] = None
-                if b not in number:
-                    plain[b] = None
-                pairs.append((a, b))
-            else:
-                if w and w not in number:
-                    other[w] = None
-                pairs.append((w, ""))
-        if plain or other:
-            self._encode_new(list(plain), list(other))
-        if pairs:
-            parts = np.array([(number[a], number[b]) for a, b in pairs], dtype=np.int64)
+        found = pc.extract_regex(pieces.dictionary, _PLAIN)
+        plain = pc.is_valid(found)
+        words = pc.utf8_lower(pc.struct_field(found, "word").filter(plain)).dictionary_encode()
+        tails = pc.struct_field(found, "tail").filter(plain).dictionary_encode()
+        lists = [x.to_pylist() for x in (words.dictionary, tails.dictionary, pieces.dictionary.filter(pc.invert(plain)))]
+        self._encode_new([w for part in lists[:2] for w in part if w not in self.number], [w for w in lists[2] if w and w not in self.number])
+        numbers = [np.array([self.number[w] for w in part], dtype=np.int32) for part in lists]
+        parts = np.zeros((len(pieces.dictionary), 2), dtype=np.int32)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        parts[is_plain, 0] = numbers[0][words.indices.to_numpy(zero_copy_only=False)] if len(numbers[0]) else 0
+        parts[is_plain, 1] = numbers[1][tails.indices.to_numpy(zero_copy_only=False)] if len(numbers[1]) else 0
+        parts[~is_plain, 0] = numbers[2]
         self.ids, bounds = [np.concatenate(self.ids)], np.array(self.bounds, dtype=np.int64)
-        codes = pieces.indices.to_numpy(zero_copy_only=False)
-        which = parts[codes].ravel()
-        size = bounds[which + 1] - bounds[which]
+        which = parts[pieces.indices.to_numpy(zero_copy_only=False)].ravel()
+        size = np.diff(bounds)[which]
         total = np.zeros(len(which) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
-        at = np.repeat(bounds[which] - total[:-1], size) + np.arange(total[-1])
-        lists = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return self.ids[0][at], total[lists * 2]
+        at = np.repeat(bounds[which] - total[:-1], size)
+        at += np.arange(total[-1])
+        in_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return self.ids[0][at], total[in_text * 2]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -120,7 +109,7 @@ def token_table(docs, path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             ids, at = encode(batch.column("text"))
             n = batch.num_rows
             whole = np.full(len(ids) + n, end_id, dtype=kind)
