@@ -41,7 +41,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ends = np.union1d(at, offsets[1:][np.diff(offsets) > 0])
     gaps = np.diff(np.concatenate([[0], ends]))
     if len(gaps) and gaps.max() > LONGEST:
-        more = [np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST])]
+        more = [np.arange(e - g + LONGEST - 3, e, LONGEST - 3) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST])]
         more = np.concatenate(more)
         back = more.copy()
         for _ in range(3):  # not inside a character

@@ -22,7 +22,7 @@ def _fold(h: np.ndarray) -> np.ndarray:
 
 
 def _join(hashes: list[np.ndarray], salt: int) -> np.ndarray:
-    total = np.full(len(hashes[0]), U(salt) * MIX2, dtype=np.uint64)
+    total = np.full(len(hashes[0]), (salt * int(MIX2)) % (1 << 64), dtype=np.uint64)
     for h in hashes:
         total = (total ^ h) * MIX1
     return mix(total)
