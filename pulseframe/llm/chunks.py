@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .store import materialise, table
 from .textops import _word_byte, buffers, mix, prefix_hash, slices, span_hash
 
-WINDOW, MASK_BITS, LONGEST = 16, 5, 2047
+WINDOW, MASK_BITS, LEAST, LONGEST = 16, 5, 8, 2047
 #: A passage has WORDS words or more; chunk edges inside it may hide some, but not below SURE.
 WORDS, SURE = 50, 25
 U = np.uint64
@@ -28,7 +28,8 @@ _gear = (mix(np.arange(1, 257, dtype=np.uint64) * U(0x2545F4914F6CDD1D)) >> U(33
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """End bytes of all chunks: content-defined cuts at character bounds, text ends, and every LONGEST bytes
-    of a run without cuts."""
+    or less of a run without cuts. A place whose test holds is no cut if another one is less than LEAST
+    bytes before it, whether that is a cut or not, so cuts still depend on nearby bytes alone."""
     h = _gear[data]
     span = 1
     while span < WINDOW:  # h[i] becomes the sum of gear values of the last 2 * span bytes, shifted by age
@@ -36,6 +37,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         span *= 2
     test = (h >> np.uint32(WINDOW - MASK_BITS)) & np.uint32((1 << MASK_BITS) - 1)
     at = np.flatnonzero(test == 0) + 1
+    at = at[np.diff(at, prepend=-LEAST) >= LEAST]
     at = at[at < len(data)]
     at = at[(data[at] & 0xC0) != 0x80]
     ends = np.union1d(at, offsets[1:][np.diff(offsets) > 0])
@@ -96,12 +98,19 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, sure: int = SURE) ->
         F.shiftright(p, 12).bitwiseAND(F.lit(255)).alias("words"), F.shiftright(p, 6).bitwiseAND(F.lit(63)).alias("left"), p.bitwiseAND(F.lit(63)).alias("right"),
     )
     by = Window.partitionBy("doc_id").orderBy("start")
+    again = again.withColumn("_same", F.lag("start").over(by) == F.col("start")).filter("_same is null or not _same")  # repeated rows
     fresh = F.when(F.lag(F.col("start") + F.col("size")).over(by) == F.col("start"), 0).otherwise(1)
     runs = again.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"),
-        F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"),
+    # Single chunks may be in other documents by chance: the run's source is where most of its bytes are.
+    parts = runs.groupBy("doc_id", "run", "first_doc_id").agg(
+        F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum("words").alias("n_words"),
+        F.min(F.struct("start", "left")).alias("head"), F.max(F.struct("start", "right")).alias("tail"),
     )
+    runs = parts.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max(F.struct("n_bytes", -F.col("first_doc_id"))).alias("best"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"),
+        F.min("head").alias("head"), F.max("tail").alias("tail"),
+    )
+    runs = runs.select("doc_id", "start", "n_bytes", "n_words", (-F.col("best.col2")).alias("first_doc_id"), F.col("head.left").alias("left"), F.col("tail.right").alias("right"))
     runs = runs.filter((F.col("n_words") >= sure) & (F.col("n_words") + F.col("left") + F.col("right") >= words))
     return runs.select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
 
