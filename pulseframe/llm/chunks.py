@@ -19,9 +19,10 @@ from pyspark.sql.window import Window
 from .store import materialise, table
 from .textops import _word_byte, buffers, mix, prefix_hash, slices, span_hash
 
-WINDOW, MASK_BITS, LEAST, LONGEST = 16, 5, 8, 2047
-#: A passage has WORDS words or more; chunk edges inside it may hide some, but not below SURE.
-WORDS, SURE = 50, 25
+WINDOW, MASK_BITS, LEAST, LONGEST = 16, 4, 8, 2047
+#: A passage has WORDS words or more. Of its chunks at least SURE words are whole ones in every document;
+#: with the chunks at both sides at most EDGE words are missing (the gear window's first bytes and one cut).
+WORDS, SURE, EDGE = 50, 30, 8
 U = np.uint64
 _gear = (mix(np.arange(1, 257, dtype=np.uint64) * U(0x2545F4914F6CDD1D)) >> U(33)).astype(np.uint32)
 
@@ -85,7 +86,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, sure: int = SURE) ->
     with a smaller doc_id has too. start and n_bytes cover whole chunks inside the passage (UTF-8 bytes).
 
     Chunks of at least `sure` words in a row must be repeated, and with the words of the two chunks at
-    their sides reach `words`. Rows that share a doc_id count as one document; rows with a null doc_id are
+    their sides and EDGE more reach `words`. Rows that share a doc_id count as one document; rows with a null doc_id are
     left out; null and empty texts have no chunks; an empty table gives no rows.
     """
     chunks = chunk_rows(docs.filter("doc_id is not null"))
@@ -111,7 +112,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, sure: int = SURE) ->
         F.min("head").alias("head"), F.max("tail").alias("tail"),
     )
     runs = runs.select("doc_id", "start", "n_bytes", "n_words", (-F.col("best.col2")).alias("first_doc_id"), F.col("head.left").alias("left"), F.col("tail.right").alias("right"))
-    runs = runs.filter((F.col("n_words") >= sure) & (F.col("n_words") + F.col("left") + F.col("right") >= words))
+    runs = runs.filter((F.col("n_words") >= sure) & (F.col("n_words") + F.col("left") + F.col("right") + EDGE >= words))
     return runs.select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
 
 
