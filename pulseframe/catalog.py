@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from .plans import model_queries, register, signal_queries
+
+FLAGSHIP = "window_features"
+QUERIES, ORACLE_SQL = register.QUERIES, register.SQL
+
+__all__ = ["FLAGSHIP", "QUERIES", "ORACLE_SQL", "model_queries", "signal_queries"]
