@@ -7,13 +7,14 @@ from .decontam import op3_template_decontamination
 from .html_text import op6_mincut_main_text
 from .isomedia import op4_iso_media
 from .neardup import op2_icws_near_duplicates
+from .pieces import op5_gumbel_segmentations
 from .quality import op9_quality
 from .rans import op1_rans_token_blocks
 from .sharding import op8_balanced_shards
 from .toxicity import op10_toxicity
 
 _ALL = [
-    op1_rans_token_blocks, op2_icws_near_duplicates, op3_template_decontamination, op4_iso_media,
+    op1_rans_token_blocks, op2_icws_near_duplicates, op3_template_decontamination, op4_iso_media, op5_gumbel_segmentations,
     op6_mincut_main_text, op7_gear_chunks, op8_balanced_shards, op9_quality, op10_toxicity,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
