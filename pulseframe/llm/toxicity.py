@@ -15,7 +15,7 @@ from .store import table
 FIT_ROWS, THRESHOLD = 12_000, 0.3
 
 
-def fit_ftrl(x: list[np.ndarray], y: np.ndarray, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.2, l2: float = 0.5, passes: int = 4, seed: int = 11) -> tuple[np.ndarray, float]:
+def fit_ftrl(x: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0, passes: int = 8, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights (2**BITS, mostly zero) and intercept. The same input gives the same weights."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
