@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import materialise, table
 from .textops import MIX2, _word_byte, buffers, mix, slices, span_hash
 
 WIDTH, LITERALS, WINDOWS, SHARE = 8, 4, 6, 0.5
@@ -152,9 +152,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTE
     sizes = items.groupBy("id").agg(F.count_distinct("at").alias("of_windows"))
     left = items.select(F.col("id").alias("item_id"), "hash", "width", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("kinds").alias("item_kinds"))
     met = found.select(F.col("id").alias("doc_id"), "hash", "width", F.col("at").alias("doc_at"), "slots").join(left, ["hash", "width"])
-    values = F.filter(F.arrays_zip(F.col("item_kinds").alias("k"), F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["item_kinds"] > 0)
     values = F.filter(F.arrays_zip("item_kinds", "item_slots", "slots"), lambda x: x["item_kinds"] > 0)
     met = met.select("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), values.alias("values"))
+    met = materialise(met, "template-matches")  # read three times below
     # A placeholder of kind k with the item's value i stands for the document's value d.
     pairs = met.select("doc_id", "item_id", "shift", F.explode("values").alias("v")).select("doc_id", "item_id", "shift", F.col("v.item_kinds").alias("k"), F.col("v.item_slots").alias("i"), F.col("v.slots").alias("d")).distinct()
     key = ["doc_id", "item_id", "shift"]
