@@ -5,8 +5,8 @@ over the vocabulary's merge ranks, so every path has a probability. Each set of
 prefix has a perturbed maximum, a Gumbel at the set's log mass truncated at its parent's maximum;
 the search always opens the set with the greatest one. What it finds first, second, ... are k
 distinct segmentations drawn without replacement, and the greatest maximum left over gives their
-inclusion scores. Pieces never cross the blank before a word or a line end, so lattices are built
-once per distinct unit of a batch and whole texts are sampled in vectorised steps. All draws are
+inclusion scores. Texts fall into units wherever no piece of the vocabulary can reach across; lattices are
+built once per distinct unit of a batch and whole texts are sampled in vectorised steps. All draws are
 hashes of (seed, row key, draw, place): a row's result depends on nothing else.
 """
 
@@ -24,8 +24,8 @@ from .store import table
 from .textops import MIX2, mix, slices
 
 U = np.uint64
-BLANK, LINE, ZIPF_SHIFT = 0x2581, 10, 8.0
-DRAWS, SEED, SLICE = 2, 17, 4 << 20
+BLANK, ZIPF_SHIFT = 0x2581, 8.0
+DRAWS, SEED, SLICE, PART = 2, 17, 1 << 20, 1 << 19  # bytes of text that share lattices, and drawn at once
 _MOST_CHARS = 1 << 21  # code points fit 21 bits
 
 
@@ -39,14 +39,20 @@ class Vocabulary:
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        if any("▁" in pieces[i].lstrip("▁") or "\n" in pieces[i] for i in normal):
-            raise ValueError("the vocabulary has pieces across blanks or lines")
         self.byte_id = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         rank = np.argsort(np.argsort([-model.get_score(i) for i in normal], kind="stable"), kind="stable")
         weight = -np.log(rank + ZIPF_SHIFT)
         self.log_w = np.full(n, -np.log(len(normal) + ZIPF_SHIFT) - 1.0)  # of bytes
         self.log_w[normal] = weight
         self.log_w -= np.logaddexp.reduce(self.log_w[normal])
+        # A text is cut between two characters that no piece has side by side: every path goes through there.
+        inner = sorted({c for i in normal if len(pieces[i]) > 1 for c in pieces[i]})
+        self.char_number = np.zeros(0x110000, dtype=np.int16)
+        self.char_number[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.together = np.zeros((len(inner) + 1, len(inner) + 1), dtype=bool)
+        for i in normal:
+            codes = self.char_number[[ord(c) for c in pieces[i]]]
+            self.together[codes[:-1], codes[1:]] = True
         edges: dict[tuple[int, int], int] = {}
         ends: list[int] = [-1]
         for i in normal:
@@ -77,7 +83,7 @@ class Vocabulary:
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The trie node after each state by its character, -1 if there is none."""
-        keys = state.astype(np.int64) * _MOST_CHARS + char
+        keys = state * _MOST_CHARS + char
         slot, out = self._slot(keys), np.full(len(keys), -1, dtype=np.int64)
         todo = np.arange(len(keys))
         while len(todo):
@@ -113,33 +119,37 @@ class Lattice:
         n = len(chars)
         left = np.repeat(starts + sizes, sizes) - np.arange(n)  # characters to the unit's end
         at, state = np.arange(n), np.zeros(n, dtype=np.int64)
-        nodes, lengths, ids = [], [], []
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []  # nodes, arc length, piece ids; nodes are distinct in each
         single = np.zeros(n, dtype=bool)
         for length in range(1, vocab.longest + 1):
-            state = vocab.step(state, chars[at + length - 1].astype(np.int64))
-            alive = state >= 0
+            state = vocab.step(state, chars[at + (length - 1)])
+            alive = np.flatnonzero(state >= 0)
             at, state = at[alive], state[alive]
             made = vocab.end[state]
-            whole = made >= 0
-            nodes.append(at[whole])
-            lengths.append(np.full(int(whole.sum()), length, dtype=np.int32))
-            ids.append(made[whole])
+            whole = np.flatnonzero(made >= 0)
+            found.append((at[whole], length, made[whole]))
             if length == 1:
                 single[at[whole]] = True
-            go = left[at] > length
+            go = np.flatnonzero(left[at] > length)
             at, state = at[go], state[go]
             if not len(at):
                 break
-        raw = np.flatnonzero(~single)  # written as bytes; arcs with id -1
-        nodes.append(raw)
-        lengths.append(np.ones(len(raw), dtype=np.int32))
-        ids.append(np.full(len(raw), -1, dtype=np.int32))
-        node, self.length, self.id = np.concatenate(nodes), np.concatenate(lengths), np.concatenate(ids)
-        order = np.argsort(node, kind="stable")
-        node, self.length, self.id = node[order], self.length[order], self.id[order]
-        self.first = np.searchsorted(node, np.arange(n + 1))
+        raw = np.flatnonzero(~single)  # written as bytes; arcs of more than one byte have id -1
+        found.append((raw, 1, np.where(chars[raw] < 0x80, vocab.byte_id[np.minimum(chars[raw], 0x7F)], -1).astype(np.int32)))
+        count = np.zeros(n + 1, dtype=np.int64)
+        for nodes, _, _ in found:
+            count[nodes + 1] += 1
+        self.first = np.cumsum(count)
+        place, arcs = self.first[:-1].copy(), int(self.first[-1])
+        self.length, self.id, node = np.empty(arcs, np.int32), np.empty(arcs, np.int32), np.empty(arcs, np.int64)
+        is_raw = np.zeros(arcs, dtype=bool)
+        for nodes, length, ids in found:
+            to = place[nodes]
+            self.length[to], self.id[to], node[to] = length, ids, nodes
+            place[nodes] += 1
+        is_raw[to] = True  # the last ones
         width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
-        log_w = np.where(self.id >= 0, vocab.log_w[self.id], vocab.log_w[vocab.byte_id[0]] * width[node])
+        log_w = np.where(is_raw, vocab.log_w[vocab.byte_id[0]] * width[node], vocab.log_w[self.id])
         # log mass of all paths from each node to its unit's end, from the ends backwards
         mass = np.zeros(n + 1)
         by_left = np.argsort(left, kind="stable")
@@ -164,6 +174,7 @@ class Lattice:
         running = np.cumsum(p)
         self.upto = running - (running - p)[self.first[node]] if n else p
         self.p = p
+        self.others = np.where(degree == 1, 0.0, -np.expm1(self.log_p))  # mass of the node's other arcs
 
 
 def uniform(key: np.ndarray, draw: int, place: np.ndarray, salt: int) -> np.ndarray:
@@ -217,8 +228,8 @@ class Batch:
         n = len(chars)
         begin = np.zeros(n + 1, dtype=bool)
         if n:
-            blank, line = chars == BLANK, chars == LINE
-            begin[1:n] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
+            number = vocab.char_number[chars]
+            begin[1:n] = ~vocab.together[number[:-1], number[1:]]
             begin[bounds] = True
         cut = np.flatnonzero(begin)
         start, size = cut[:-1], np.diff(cut)
@@ -257,23 +268,25 @@ class Batch:
             last = i + 1
         return np.concatenate([*parts, ids[last:]])
 
-    def draw(self, keys: np.ndarray, draws: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-        """For each text up to `draws` segmentations: (arcs, log probability, perturbed value, log inclusion)."""
-        la, n = self.lattice, len(self.size)
+    def draw(self, keys: np.ndarray, draws: int, lo: int = 0, hi: int | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each of the texts lo to hi up to `draws` segmentations: (arcs, log probability, perturbed value,
+        log inclusion)."""
+        la, hi = self.lattice, len(self.size) if hi is None else hi
+        n, keys, some = hi - lo, keys[lo:hi], slice(self.units[lo], self.units[hi])
         root = -np.log(-np.log(uniform(keys, 0, np.zeros(n, np.int64), 2)))
-        arcs, count = _walk(la, self.node, self.end, keys[self.text_of], self.place, 0)
-        ends = np.concatenate([[0], np.cumsum(count)])[self.units]
+        arcs, count = _walk(la, self.node[some], self.end[some], keys[self.text_of[some] - lo], self.place[some], 0)
+        ends = np.concatenate([[0], np.cumsum(count)])[self.units[lo : hi + 1] - self.units[lo]]
         owner = np.repeat(np.arange(n), np.diff(ends))
         length = la.length[arcs].astype(np.int64)
         run = np.cumsum(length) - length
-        place = run - np.concatenate([[0], np.cumsum(self.size)])[owner]
+        place = run - np.concatenate([[0], np.cumsum(self.size[lo:hi])])[owner]
         front = self._front(arcs, place, keys[owner], root[owner], np.zeros(len(arcs)), ends, 0)
         paths: list[list[dict]] = [[] for _ in range(n)]
         for i in range(n):
             one = slice(ends[i], ends[i + 1])
             paths[i].append({"arcs": arcs[one], "place": place[one], "front": front[one], "from": 0, "closed": None, "value": float(root[i])})
         for t in range(1, draws):
-            self._next(paths, keys, t)
+            self._next(paths, keys, t, lo)
         return [self._scored(p) for p in paths]
 
     def _scored(self, paths: list[dict]) -> list[tuple[np.ndarray, float, float, float]]:
@@ -294,12 +307,14 @@ class Batch:
         total = np.cumsum(log_p)
         first = np.concatenate([[0.0], total])[ends[:-1]]
         prefix = total - log_p - np.repeat(first, np.diff(ends)) + before
-        with np.errstate(divide="ignore"):
-            log_mass = prefix + np.where(la.degree[arcs] == 1, -np.inf, np.log1p(-np.minimum(la.p[arcs], 1 - 1e-16)))
-            g = log_mass - np.log(-np.log(uniform(keys, draw, place, 3)))
-            return -np.logaddexp(-limit, -g)
-
-    def _next(self, paths: list[list[dict]], keys: np.ndarray, t: int) -> None:
+        # -log(exp(-limit) + exp(-g)) with g a Gumbel at log(others) + prefix; no mass left gives -inf
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            spread = np.exp(-prefix) / la.others[arcs]
+            spread *= -np.log(uniform(keys, draw, place, 3))
+            spread += np.exp(-limit)
+            return -np.log(spread)
+
+    def _next(self, paths: list[list[dict]], keys: np.ndarray, t: int, first: int) -> None:
         """Opens the set with the greatest perturbed maximum of every text and draws a path from it."""
         la = self.lattice
         jobs = []
@@ -325,7 +340,7 @@ class Batch:
         nodes, stops, places, owners = [], [], [], []
         for k, (i, p, at, arc, _, _) in enumerate(jobs):
             place = int(p["place"][at])
-            lo, hi = self.units[i], self.units[i + 1]
+            lo, hi = self.units[first + i], self.units[first + i + 1]
             unit = int(np.searchsorted(self.place[lo:hi], place, side="right")) + lo - 1
             length = int(la.length[arc])
             nodes.append(np.concatenate([[self.node[unit] + place - self.place[unit] + length], self.node[unit + 1 : hi]]))
@@ -387,14 +402,19 @@ def sample_segmentations(docs: DataFrame, path: str, draws: int = DRAWS, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in slices(batches, most=SLICE):
-            made = Batch(vocab, [x or "" for x in batch.column("text").to_pylist()])
-            rows = []
-            for doc, found in zip(batch.column("doc_id").to_pylist(), made.draw(row_keys(batch.column("doc_id"), seed), draws)):
-                for rank, (arcs, *scores) in enumerate(found, 1):
-                    ids = made.ids(arcs)
-                    raw = ids.astype("<u4").tobytes()
-                    rows.append((doc, rank, len(ids), zlib.crc32(raw), zlib.crc32(vocab.decode(ids)), *scores) if digest else (doc, rank, raw, *scores))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=list(names))
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            made, keys, ids_of = Batch(vocab, texts), row_keys(batch.column("doc_id"), seed), batch.column("doc_id").to_pylist()
+            part = np.cumsum([len(x) for x in texts]) // PART
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                rows = []
+                for doc, found in zip(ids_of[lo:hi], made.draw(keys, draws, lo, hi)):
+                    for rank, (arcs, *scores) in enumerate(found, 1):
+                        ids = made.ids(arcs)
+                        raw = ids.astype("<u4").tobytes()
+                        scores = [round(x, 6) for x in scores]  # beyond that they depend on the order of sums
+                        rows.append((doc, rank, len(ids), zlib.crc32(raw), zlib.crc32(vocab.decode(ids)), *scores) if digest else (doc, rank, raw, *scores))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=list(names))
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
