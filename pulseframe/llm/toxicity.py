@@ -6,11 +6,15 @@ of arrays that every task gets (at most FIT_ROWS documents' features, in practic
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .ngrams import BITS, labelled_sample, logistic, score_documents, skip_grams
 from .store import table
+from .textops import slices
 
 FIT_ROWS, THRESHOLD = 12_000, 0.3
 
@@ -41,24 +45,28 @@ def fit_ftrl(x: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float
     return weights(z, n), prior - bias_z / ((beta + bias_n**0.5) / alpha + l2)
 
 
+class SparseLogistic:
+    """The fitted model: what the non-zero weights give for (text numbers, features, texts)."""
+
+    def __init__(self, x: list[np.ndarray], y: np.ndarray):
+        weights, self.bias = fit_ftrl(x, y) if len(y) else (np.zeros(1 << BITS), 0.0)
+        self.at = np.flatnonzero(weights)
+        self.kept = weights[self.at].astype(np.float32)
+
+    def __call__(self, of: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
+        dense = np.zeros(1 << BITS, np.float32)
+        dense[self.at] = self.kept
+        return logistic(np.bincount(of, weights=dense[features], minlength=n) + self.bias)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score (probability of toxic) and predicted of every document.
 
     The model is fitted on at most `fit_rows` labelled rows outside the held-out quarter. Without
     labelled rows every score is 0.5. Null and empty texts get the intercept's score. Repeated rows stay.
     """
-    x, y = labelled_sample(docs, labels, "toxic", fit_rows, skip_grams)
-    weights, bias = fit_ftrl(x, y) if len(y) else (np.zeros(1 << BITS), 0.0)
-    at = np.flatnonzero(weights)
-    kept = weights[at].astype(np.float32)
-
-    def weigh(of: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = kept
-        w = dense[features]
-        return logistic(np.bincount(of, weights=w, minlength=n) + bias)
-
-    return score_documents(docs, skip_grams, weigh, THRESHOLD)
+    model = SparseLogistic(*labelled_sample(docs, labels, "toxic", fit_rows, skip_grams))
+    return score_documents(docs, skip_grams, model, THRESHOLD)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -66,7 +74,15 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose score stays under the threshold, all columns unchanged. A
-    doc_id with several rows goes as a whole if one of them is rejected; a null doc_id stays."""
-    bad = toxicity_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: the rows whose score stays under the threshold, all columns unchanged, in one pass
+    without a shuffle. Without labelled rows nothing is rejected."""
+    x, y = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", FIT_ROWS, skip_grams)
+    if not len(y):
+        return docs
+    model = SparseLogistic(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(model(*skip_grams(batch.column("text"))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
