@@ -38,6 +38,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         span *= 2
     test = (h >> np.uint32(WINDOW - MASK_BITS)) & np.uint32((1 << MASK_BITS) - 1)
     at = np.flatnonzero(test == 0) + 1
+    at = at[at - offsets[np.searchsorted(offsets, at - 1, side="right") - 1] >= WINDOW]  # no bytes of the text before
     at = at[np.diff(at, prepend=-LEAST) >= LEAST]
     at = at[at < len(data)]
     at = at[(data[at] & 0xC0) != 0x80]

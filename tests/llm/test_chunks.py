@@ -26,6 +26,17 @@ def test_cuts_tile_the_texts_and_follow_content():
     assert set((one[one > 40] + shift).tolist()) <= set(ends2.tolist())
 
 
+def test_cuts_do_not_depend_on_the_texts_before():
+    rng = random.Random(2)
+    text = prose(rng, 200)
+    alone, offsets = buffers(pa.array([text]))
+    want = chunks.cuts(alone, offsets).tolist()
+    for before in ("", "a", prose(rng, 3), prose(rng, 77)):
+        data, offsets = buffers(pa.array([before, text]))
+        ends = chunks.cuts(data, offsets)
+        assert (ends[ends > offsets[1]] - offsets[1]).tolist() == want
+
+
 def test_repeated_passages_across_documents(spark):
     rng = random.Random(5)
     passages = [prose(rng, 60 + 5 * i) for i in range(20)]
