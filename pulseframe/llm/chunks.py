@@ -92,7 +92,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, sure: int = SURE) ->
     """
     chunks = chunk_rows(docs.filter("doc_id is not null"))
     firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    firsts = firsts.filter("last > first_doc_id").select("digest", "first_doc_id")
+    # Written, so that the join has a plain exchange on both sides and a very common chunk's rows can be split.
+    firsts = materialise(firsts.filter("last > first_doc_id").select("digest", "first_doc_id"), "chunk-firsts")
     again = chunks.join(firsts, "digest").filter("doc_id > first_doc_id")
     p = F.col("place")
     again = again.select(
