@@ -75,3 +75,10 @@ def test_stage_cuts_copies_and_keeps_the_rest(spark):
 def test_empty_table(no_docs, spark):
     assert chunks.repeated_passages(no_docs).count() == 0
     assert chunks.drop_repeats(spark, no_docs, "").count() == 0
+
+
+def test_hard_rows(spark, hard_docs):
+    got = chunks.repeated_passages(hard_docs.unionByName(hard_docs)).collect()
+    assert all(r.doc_id != r.first_doc_id for r in got)
+    kept = chunks.drop_repeats(spark, hard_docs, "")
+    assert kept.columns == hard_docs.columns and kept.count() == hard_docs.count()

@@ -44,3 +44,12 @@ def test_planted_passages(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert truth and truth <= got
     assert len({d for d, _ in got}) <= 1.2 * len({d for d, _ in truth})
+
+
+def test_hard_rows(spark, hard_docs):
+    bench = hard_docs.selectExpr("doc_id as item_id", "text", "words").unionByName(spark.createDataFrame([(500, ITEM, "x")], "item_id long, text string, words string"))
+    docs = hard_docs.unionByName(hard_docs).unionByName(spark.createDataFrame([(501, "Then " + ITEM, "en", "s", 0, "w", 1)], hard_docs.schema))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert (501, 500) in got and all(a == b or {a, b} == {15, 18} for a, b in got - {(501, 500)})
+    kept = decontam.drop_contaminated(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns
