@@ -136,14 +136,17 @@ def template_windows(df: DataFrame, key: str, only: np.ndarray | None = None) ->
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTER_MOST) -> DataFrame:
-    """doc_id, item_id, windows (distinct windows of the item found), of_windows, share, kind.
+    """doc_id, item_id, windows (different windows of the item found), of_windows (its different ones), share, kind.
 
     A pair is reported if one-to-one alignments hold at least WINDOWS windows of the item, or SHARE of
     them, or all of a shorter item's. kind is `exact` if all placeholder values agree and
     `reparameterised` otherwise. Null and empty texts, texts and items under SHORTEST tokens match
     nothing. Rows that share a doc_id count as one document. Empty tables give no rows.
     """
-    items = template_windows(benchmark, "item_id").persist()
+    # A window that an item repeats counts once, at its first place: else a repetitive item meets a repetitive
+    # document in the product of their lengths.
+    first = F.min(F.struct("at", "slots", "kinds")).alias("f")
+    items = template_windows(benchmark, "item_id").groupBy("id", "hash", "width").agg(first).select("id", "hash", "width", "f.*").persist()
     hashes = items.select("hash").distinct()
     only = None
     if hashes.count() <= filter_most:
