@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_seconds, no_nan, parse_time
 from ..operators.validate import InvalidTable, duplicate_keys
 
+#: The file name of a recording (fixed value of the format).
 NAME = r"^(\d+)_([A-Z0-9]+)_(BASELINE|STIMULUS|QUESTIONNAIRES|WASHOUT)_EMPATICA\.json$"
 ROWS = "map<string,array<array<string>>>"
 
