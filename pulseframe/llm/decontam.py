@@ -4,7 +4,8 @@ Texts become token templates: numbers, units after a number, and names (title-ca
 sentence) are typed placeholders, other words stand lower-cased. Windows of WIDTH template tokens of
 documents and benchmark items meet in a hash join. Along each alignment of a document with an
 item the placeholders' values must map one to one, so a question with other numbers or names is
-found and text that merely has the same frame is not.
+found and text that merely has the same frame is not. Windows over the values themselves stand in where an
+item has no template window, and at its first token, whose kind depends on the text before it.
 """
 
 from __future__ import annotations
@@ -81,33 +82,54 @@ class Templates:
         marks = mix(np.arange(4, dtype=np.uint64) * MIX2 + U(77))
         self.token = np.where(self.kind > 0, marks[self.kind], self.value)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first token and width of the windows with LITERALS plain words; a text of SHORTEST to WIDTH
-        tokens has one of its own width, with all but three tokens plain."""
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first token, width and literal (False) of an item's windows with LITERALS plain words; a text of
+        SHORTEST to WIDTH tokens has one of its own width, with all but three tokens plain. A text without such a
+        window has all its windows over values (literal) instead, others have one at the first token if it has a window."""
         n, first = len(self.token), np.searchsorted(self.of, np.arange(self.n_texts + 1))
-        found = [self._run(np.arange(max(0, n - WIDTH + 1)), WIDTH, LITERALS)]
+        every = [(np.arange(max(0, n - WIDTH + 1)), WIDTH, LITERALS)]
         size = np.diff(first)
         for width in range(SHORTEST, WIDTH):
-            found.append(self._run(first[:-1][size == width], width, width - 3))
+            every.append((first[:-1][size == width], width, width - 3))
+        found = [self._run(*x) for x in every]
+        some = np.zeros(self.n_texts, dtype=bool)
+        opening = np.zeros(n + 1, dtype=bool)
+        for _, at, _, _ in found:
+            some[self.of[at]] = True
+            opening[at[at == first[self.of[at]]]] = True
+        for at, width, _ in every:
+            found.append(self._run(at[~some[self.of[at]] | opening[at]], width, 0, True))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _run(self, at: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows_of(self, shapes: list[tuple[int, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As `windows`: every window of the text that has one of the shapes (width, literal)."""
+        n = len(self.token)
+        none = np.zeros(0, np.int64)
+        found = [(none.astype(np.uint64), none, none, none.astype(bool))]
+        for width, literal in shapes:
+            least = 0 if literal else LITERALS if width == WIDTH else width - 3
+            found.append(self._run(np.arange(max(0, n - width + 1)), width, least, literal))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _run(self, at: np.ndarray, width: int, literals: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = at[self.of[at] == self.of[at + width - 1]] if len(at) else at
         plain = np.concatenate([[0], np.cumsum(self.kind == 0)])
         at = at[plain[at + width] - plain[at] >= literals]
-        total = np.full(len(at), U(width), dtype=np.uint64)
+        token = self.value if literal else self.token
+        total = np.full(len(at), U(width + 1000 * literal), dtype=np.uint64)
         keys = mix(np.arange(1, width + 1, dtype=np.uint64) * U(0x51ED270B7F3A9C25)) | U(1)
         for j in range(width):
-            total += self.token[at + j] * keys[j]
-        return mix(total), at, np.full(len(at), width)
+            total += token[at + j] * keys[j]
+        return mix(total), at, np.full(len(at), width), np.full(len(at), literal)
 
 
-WINDOW_SCHEMA = "id long, hash long, at int, width int, tokens int, slots array<long>, kinds array<int>"
+WINDOW_SCHEMA = "id long, hash long, at int, width int, literal boolean, tokens int, slots array<long>, kinds array<int>"
 
 
-def template_windows(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
-    """Every window of every whole text of `df`, or those whose hash is among `only` (sorted): id, hash, at
-    (token number), width, tokens of the text, and the value and kind of each token (kind 0: plain)."""
+def template_windows(df: DataFrame, key: str, only: np.ndarray | None = None, shapes: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """Every window of every whole text of `df` (an item's, or a document's of `shapes`), or those whose hash is among
+    `only` (sorted): id, hash, at (token number), width, literal, tokens of the text, and the value and kind of each
+    token (kind 0: plain, and all of a literal window)."""
     names = [x.split()[0] for x in WINDOW_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +138,11 @@ def template_windows(df: DataFrame, key: str, only: np.ndarray | None = None) ->
             sieve[(only >> U(42)).astype(np.int64)] = True
         for batch in slices(batches):
             t = Templates(batch.column("text"))
-            h, at, width = t.windows()
+            h, at, width, literal = t.windows() if shapes is None else t.windows_of(shapes)
             if only is not None:
                 hit = np.flatnonzero(sieve[(h >> U(42)).astype(np.int64)])
                 hit = hit[only[np.minimum(np.searchsorted(only, h[hit]), len(only) - 1)] == h[hit]] if len(only) else hit[:0]
-                h, at, width = h[hit], at[hit], width[hit]
+                h, at, width, literal = h[hit], at[hit], width[hit], literal[hit]
             ids = batch.column("id").to_pylist()
             first = np.searchsorted(t.of, np.arange(t.n_texts + 1))
             size = np.diff(first)
@@ -128,8 +150,8 @@ def template_windows(df: DataFrame, key: str, only: np.ndarray | None = None) ->
                 part = slice(begin, begin + 20_000)
                 own = t.of[at[part]]
                 slots = [t.value[a : a + w].view(np.int64) for a, w in zip(at[part], width[part])]
-                kinds = [t.kind[a : a + w].astype(np.int32) for a, w in zip(at[part], width[part])]
-                cols = [pa.array([ids[i] for i in own], pa.int64()), pa.array(h[part].view(np.int64)), pa.array((at[part] - first[own]).astype(np.int32)), pa.array(width[part].astype(np.int32)), pa.array(size[own].astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))]
+                kinds = [t.kind[a : a + w].astype(np.int32) * (not x) for a, w, x in zip(at[part], width[part], literal[part])]
+                cols = [pa.array([ids[i] for i in own], pa.int64()), pa.array(h[part].view(np.int64)), pa.array((at[part] - first[own]).astype(np.int32)), pa.array(width[part].astype(np.int32)), pa.array(literal[part]), pa.array(size[own].astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return df.select(F.col(key).alias("id"), "text").mapInArrow(run, WINDOW_SCHEMA)
@@ -146,12 +168,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTE
     # A window that an item repeats counts once, at its first place: else a repetitive item meets a repetitive
     # document in the product of their lengths.
     first = F.min(F.struct("at", "slots", "kinds")).alias("f")
-    items = template_windows(benchmark, "item_id").groupBy("id", "hash", "width").agg(first).select("id", "hash", "width", "f.*").persist()
+    items = template_windows(benchmark, "item_id").groupBy("id", "hash", "width", "literal").agg(first).select("id", "hash", "width", "literal", "f.*").persist()
     hashes = items.select("hash").distinct()
     only = None
     if hashes.count() <= filter_most:
         only = np.sort(hashes.toArrow()["hash"].to_numpy().astype(np.int64).view(np.uint64))
-    found = template_windows(docs, "doc_id", only)
+    shapes = sorted((r["width"], r["literal"]) for r in items.select("width", "literal").distinct().collect())
+    found = template_windows(docs, "doc_id", only, shapes)
     sizes = items.groupBy("id").agg(F.count_distinct("at").alias("of_windows"))
     left = items.select(F.col("id").alias("item_id"), "hash", "width", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("kinds").alias("item_kinds"))
     met = found.select(F.col("id").alias("doc_id"), "hash", "width", F.col("at").alias("doc_at"), "slots").join(left, ["hash", "width"])

@@ -53,3 +53,14 @@ def test_hard_rows(spark, hard_docs):
     assert (501, 500) in got and all(a == b or {a, b} == {15, 18} for a, b in got - {(501, 500)})
     kept = decontam.drop_contaminated(spark, docs, "/root/testdata/sf0.001")
     assert kept.columns == docs.columns
+
+
+def test_exact_copies_of_short_and_literal_items(spark):
+    items = ["one two three four five", "Carlos sold twelve ripe red apples", "17 + 25 + 38 + 41 = 121", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3", "Anna Berta Carla Dora Emma Frieda Gerda Hanna Ida Jana Karla Lena Maria"]
+    items += ["Carlos sold twelve ripe red apples at noon"]
+    texts = [f"well he said {t} and that was all of it" for t in items]
+    got = found(spark, texts, items)
+    assert {(i, 100 + i) for i in range(len(items))} <= set(got)
+    assert all(got[i, 100 + i] == "exact" for i in (0, 2, 3, 4))
+    assert set(found(spark, texts, items, filter_most=0)) == set(got)
+    assert found(spark, ["well he said 3 1 4 1 5 9 2 7 and that was all", "one two three five four"], items[:4]) == {}
