@@ -3,8 +3,9 @@
 Texts become token templates: numbers, units after a number, and names (title-case words inside a
 sentence) are typed placeholders, other words stand lower-cased. Windows of WIDTH template tokens of
 documents and benchmark items meet in a hash join. Along each alignment of a document with an
-item the placeholders' values must map one to one, so a question with other numbers or names is
-found and text that merely has the same frame is not. Windows over the values themselves stand in where an
+item the placeholders' values must map consistently and names one to one, so a question with other numbers or names is
+found and text that merely has the same frame is not. Windows with the item's own values count whatever the rest of
+the alignment does. Windows over the values themselves stand in where an
 item has no template window, and at its first token, whose kind depends on the text before it.
 """
 
@@ -160,8 +161,10 @@ def template_windows(df: DataFrame, key: str, only: np.ndarray | None = None, sh
 def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTER_MOST) -> DataFrame:
     """doc_id, item_id, windows (different windows of the item found), of_windows (its different ones), share, kind.
 
-    A pair is reported if one-to-one alignments hold at least WINDOWS windows of the item, or SHARE of
-    them, or all of a shorter item's. kind is `exact` if all placeholder values agree and
+    A number or unit of the item stands for the value it most often has along an alignment; windows with another one
+    are left out. Two numbers may get one value. Names must map one to one along the whole alignment; else
+    only its windows whose values are the item's, or that have no placeholders, count, and to SHARE alone. A pair is reported if
+    alignments hold at least WINDOWS windows of the item, or SHARE of them, or all of a shorter item's. kind is `exact` if all placeholder values agree and
     `reparameterised` otherwise. Null and empty texts, texts and items under SHORTEST tokens match
     nothing. Rows that share a doc_id count as one document. Empty tables give no rows.
     """
@@ -182,17 +185,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTE
     met = met.select("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), values.alias("values"))
     met = materialise(met, "template-matches")  # read three times below
     # A placeholder of kind k with the item's value i stands for the document's value d.
-    pairs = met.select("doc_id", "item_id", "shift", F.explode("values").alias("v")).select("doc_id", "item_id", "shift", F.col("v.item_kinds").alias("k"), F.col("v.item_slots").alias("i"), F.col("v.slots").alias("d")).distinct()
     key = ["doc_id", "item_id", "shift"]
-    mapping = pairs.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("k", "i").alias("froms"), F.count_distinct("k", "d").alias("tos"), F.min((F.col("i") == F.col("d")).cast("int")).alias("same"),
+    pairs = met.select(*key, F.explode("values").alias("v")).select(*key, F.col("v.item_kinds").alias("k"), F.col("v.item_slots").alias("i"), F.col("v.slots").alias("d"))
+    counted = pairs.groupBy(*key, "k", "i", "d").agg(F.count(F.lit(1)).alias("n"))
+    # Of each value of the item the document's most frequent one (its own of equals) and the others.
+    to = F.struct("n", (F.col("i") == F.col("d")).alias("own"), "d")
+    values_of = counted.groupBy(*key, "k", "i").agg(F.max(to)["d"].alias("d"), F.collect_list("d").alias("all"))
+    names = F.when(F.col("k") == NAME, F.col("d"))
+    mapping = values_of.groupBy(key).agg(
+        F.count(names).alias("names"), F.count_distinct(names).alias("tos"), F.max(F.when(F.col("k") == NAME, F.size("all"))).alias("most"),
+        F.min(((F.col("i") == F.col("d")) & (F.size("all") == 1)).cast("int")).alias("same"),
+        F.flatten(F.collect_list(F.transform(F.array_remove("all", F.col("d")), lambda d: F.struct(F.col("k").alias("k"), F.col("i").alias("i"), d.alias("d"))))).alias("odd"),
     )
-    mapping = mapping.select(*[F.col(c).alias(f"m_{c}") for c in key], ((F.col("n") == F.col("froms")) & (F.col("n") == F.col("tos"))).alias("fits"), "same")
+    mapping = mapping.select(*[F.col(c).alias(f"m_{c}") for c in key], ((F.col("names") == F.col("tos")) & (F.coalesce("most", F.lit(1)) == 1)).alias("fits"), "same", "odd")
     on = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("item_id").eqNullSafe(F.col("m_item_id")) & (F.col("shift") == F.col("m_shift"))
-    kept = met.select(*key, "item_at").join(mapping, on, "left").filter(F.coalesce("fits", F.lit(True)))
-    out = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("windows"), F.min(F.coalesce("same", F.lit(1))).alias("same"))
+    own = F.forall("values", lambda x: x["item_slots"] == x["slots"])
+    agrees = ~F.exists("values", lambda x: F.array_contains("odd", F.struct(x["item_kinds"].alias("k"), x["item_slots"].alias("i"), x["slots"].alias("d"))))
+    # An alignment without placeholders has no mapping.
+    kept = met.select(*key, "item_at", "values").join(mapping, on, "left").withColumn("fits", F.coalesce("fits", F.lit(True)))
+    kept = kept.filter(own | (F.col("fits") & agrees))
+    out = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("windows"), F.count_distinct(F.when(F.col("fits"), F.col("item_at"))).alias("firm"), F.min(F.coalesce("same", F.lit(1))).alias("same"))
     out = out.join(sizes.withColumnRenamed("id", "item_id"), "item_id").withColumn("share", F.col("windows") / F.col("of_windows"))
-    out = out.filter((F.col("windows") >= F.least(F.lit(WINDOWS), "of_windows")) | (F.col("share") >= SHARE))
+    out = out.filter((F.col("firm") >= F.least(F.lit(WINDOWS), "of_windows")) | (F.col("share") >= SHARE))
     return out.select("doc_id", "item_id", "windows", "of_windows", "share", F.when(F.col("same") == 1, "exact").otherwise("reparameterised").alias("kind"))
 
 

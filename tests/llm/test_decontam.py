@@ -64,3 +64,15 @@ def test_exact_copies_of_short_and_literal_items(spark):
     assert all(got[i, 100 + i] == "exact" for i in (0, 2, 3, 4))
     assert set(found(spark, texts, items, filter_most=0)) == set(got)
     assert found(spark, ["well he said 3 1 4 1 5 9 2 7 and that was all", "one two three five four"], items[:4]) == {}
+
+
+def test_one_edit_does_not_hide_the_rest(spark):
+    tail = " where a neighbour who keeps bees had left a jar of honey on the old wooden table beside the open window"
+    item = ITEM + tail
+    name = item.replace("then Carlos", "then Pedro")  # one occurrence of a repeated name
+    numbers = "we add 3 red and 4 green marbles to the bag and then take 3 of the red ones out of it again"
+    other = numbers.replace("4", "5").replace("3", "5")  # two numbers became one
+    once = numbers.replace("take 3", "take 8")  # one occurrence of a repeated number
+    names = numbers.replace("3", "6", 1).replace("4", "7").replace("take 3", "take 8")  # one number stands for two
+    got = found(spark, [name, other, once, names], [item, numbers])
+    assert set(got) == {(0, 100), (1, 101), (2, 101), (3, 101)} and set(got.values()) == {"reparameterised"}
