@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A gear hash over the last WINDOW bytes cuts a text wherever its low bits are zero, so the cuts
-depend on nearby bytes alone and an insertion moves no cut beyond its own neighbourhood. Chunks are
-matched by digest over the whole table; consecutive chunks that another document has first form
-a repeated passage.
+depend on nearby bytes alone and an insertion moves no cut beyond its own neighbourhood. Every chunk begins
+a variable window: it and the chunks after it up to SURE words. Windows are matched by digest over the whole table, and
+the first document of each digest is the source of its repeats. The windows of a document that share a source and a shift
+make a candidate; its bytes and the source's are then compared, and equal stretches of WORDS words or more are
+the passages.
 """
 
 from __future__ import annotations
@@ -12,38 +14,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialise, table
+from .store import drop_table, materialise, table
 from .textops import _word_byte, buffers, mix, prefix_hash, slices, span_hash
 
 WINDOW, MASK_BITS, LEAST, LONGEST = 16, 4, 8, 2047
-#: A passage has WORDS words or more. Of its chunks at least SURE words are whole ones in every document;
-#: with the chunks at both sides at most EDGE words are missing (the gear window's first bytes and one cut).
-WORDS, SURE, EDGE = 50, 30, 8
+#: A passage has WORDS words or more; a window of SURE words or more lies inside it whatever its ends cut off.
+WORDS, SURE = 50, 24
+#: Without a cut for QUIET bytes, the places with the least hash of the last LOCAL bytes are cuts too (periodic text has no others).
+QUIET, LOCAL = 256, 64
+#: Where a stretch of repeated windows has several sources, each is compared this many bytes beyond its own windows.
+REACH = 2048
+#: Bytes compared beyond the chunks at both sides of a stretch of repeated windows: cuts near its ends may differ.
+MARGIN = 128
 U = np.uint64
 _gear = (mix(np.arange(1, 257, dtype=np.uint64) * U(0x2545F4914F6CDD1D)) >> U(33)).astype(np.uint32)
 
 
+def _spaced(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of places closer than LEAST to the one before, in chains, those LEAST or more after the last one kept."""
+    if not len(at):
+        return at
+    of = np.searchsorted(offsets, at - 1, side="right")
+    free = (np.diff(at, prepend=-LEAST) >= LEAST) | (np.diff(of, prepend=-1) != 0)
+    keep = free.copy()
+    begin = np.flatnonzero(free)
+    until = np.append(begin[1:], len(at))
+    long = until - begin > 2  # of two, the second is too close
+    for s, e in zip(begin[long].tolist(), until[long].tolist()):
+        chain = at[s:e].tolist()
+        last = chain[0]
+        for k, x in enumerate(chain):
+            if x - last >= LEAST:
+                keep[s + k], last = True, x
+    return at[keep]
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """End bytes of all chunks: content-defined cuts at character bounds, text ends, and every LONGEST bytes
-    or less of a run without cuts. A place whose test holds is no cut if another one is less than LEAST
-    bytes before it, whether that is a cut or not, so cuts still depend on nearby bytes alone."""
+    or less of a run without cuts."""
     h = _gear[data]
     span = 1
     while span < WINDOW:  # h[i] becomes the sum of gear values of the last 2 * span bytes, shifted by age
         h[span:] += h[:-span] << np.uint32(span)
         span *= 2
-    test = (h >> np.uint32(WINDOW - MASK_BITS)) & np.uint32((1 << MASK_BITS) - 1)
-    at = np.flatnonzero(test == 0) + 1
-    at = at[at - offsets[np.searchsorted(offsets, at - 1, side="right") - 1] >= WINDOW]  # no bytes of the text before
-    at = at[np.diff(at, prepend=-LEAST) >= LEAST]
-    at = at[at < len(data)]
-    at = at[(data[at] & 0xC0) != 0x80]
+    rolled = (h >> np.uint32(WINDOW - MASK_BITS)) & np.uint32((1 << MASK_BITS) - 1)
+    whole = lambda at: at[(at - offsets[np.searchsorted(offsets, at - 1, side="right") - 1] >= WINDOW) & (at < len(data))]  # noqa: E731  no bytes of the text before
+    begins = lambda at: at[(data[at] & 0xC0) != 0x80]
+    at = begins(_spaced(whole(np.flatnonzero(rolled == 0) + 1), offsets))
     ends = np.union1d(at, offsets[1:][np.diff(offsets) > 0])
     gaps = np.diff(np.concatenate([[0], ends]))
+    for e, g in zip(ends[gaps > QUIET].tolist(), gaps[gaps > QUIET].tolist()):
+        part = h[e - g : e] & np.uint32(0xFFFF)
+        least = np.lib.stride_tricks.sliding_window_view(part, LOCAL).min(axis=1)
+        more = whole(np.flatnonzero(part[LOCAL - 1 :] == least) + (e - g + LOCAL))
+        ends = np.union1d(ends, begins(_spaced(more[more < e], offsets)))
+    gaps = np.diff(np.concatenate([[0], ends]))
     if len(gaps) and gaps.max() > LONGEST:
         more = [np.arange(e - g + LONGEST - 3, e, LONGEST - 3) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST])]
         more = np.concatenate(more)
@@ -54,9 +83,19 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, place of every chunk of every whole text. place packs the start byte (31 bits), length
-    (11), words begun (8), and the words of the neighbouring chunks (6 and 6, at most 63)."""
+def word_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    inside = _word_byte[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[starts] = inside[starts]
+    return begins
+
+
+def chunk_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, other, digest, place, span of every window of every whole text (doc_id, other, text). place packs the start
+    byte (31 bits), the size of its first chunk (11) and whether an earlier window of the text has the same digest
+    (1); span the window's size (31) and the sizes of the chunks before and after it (11 and 11)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -66,77 +105,145 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             ends = cuts(data, offsets)
             starts = np.concatenate([[0], ends[:-1]])
             of = np.searchsorted(offsets, starts, side="right") - 1
-            inside = _word_byte[data]
-            begins = inside.copy()
-            begins[1:] &= ~inside[:-1]
-            count = np.concatenate([[0], np.cumsum(begins)])
-            words = count[ends] - count[starts]
-            left, right = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-            same = of[1:] == of[:-1]
-            left[1:][same], right[:-1][same] = words[:-1][same], words[1:][same]
-            place = ((starts - offsets[of]) << 31) | ((ends - starts) << 20) | (np.minimum(words, 255) << 12) | (np.minimum(left, 63) << 6) | np.minimum(right, 63)
-            digest = span_hash(data, starts, ends, prefix_hash(data)).view(np.int64)
-            ids = batch.column("doc_id").take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digest), pa.array(place)], names=["doc_id", "digest", "place"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest long, place long")
-
-
-def repeated_passages(docs: DataFrame, words: int = WORDS, sure: int = SURE) -> DataFrame:
-    """doc_id, start, n_bytes, n_words, first_doc_id: passages of about `words` words and more that a document
-    with a smaller doc_id has too. start and n_bytes cover whole chunks inside the passage (UTF-8 bytes).
-
-    Chunks of at least `sure` words in a row must be repeated, and with the words of the two chunks at
-    their sides and EDGE more reach `words`. Rows that share a doc_id count as one document; rows with a null doc_id are
-    left out; null and empty texts have no chunks; an empty table gives no rows.
-    """
-    chunks = chunk_rows(docs.filter("doc_id is not null"))
-    firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    # Written, so that the join has a plain exchange on both sides and a very common chunk's rows can be split.
-    firsts = materialise(firsts.filter("last > first_doc_id").select("digest", "first_doc_id"), "chunk-firsts")
-    again = chunks.join(firsts, "digest").filter("doc_id > first_doc_id")
-    p = F.col("place")
-    again = again.select(
-        "doc_id", "first_doc_id", F.shiftright(p, 31).alias("start"), F.shiftright(p, 20).bitwiseAND(F.lit(2047)).alias("size"),
-        F.shiftright(p, 12).bitwiseAND(F.lit(255)).alias("words"), F.shiftright(p, 6).bitwiseAND(F.lit(63)).alias("left"), p.bitwiseAND(F.lit(63)).alias("right"),
+            count = np.concatenate([[0], np.cumsum(word_begins(data, offsets))])
+            size = ends - starts
+            last = np.searchsorted(count[ends], count[starts] + SURE, side="left")
+            first = np.flatnonzero(last < len(ends))
+            first = first[of[last[first]] == of[first]]
+            if not len(first):
+                continue
+            last = last[first]
+            digest = span_hash(data, starts[first], ends[last], prefix_hash(data))
+            before = np.where((first > 0) & (of[first] == of[first - 1]), size[first - 1], 0)
+            after = np.append(size, 0)[last + 1] * (np.append(of, -1)[last + 1] == of[first])
+            order = np.lexsort((first, digest, of[first]))
+            same = (np.diff(digest[order]) == 0) & (np.diff(of[first][order]) == 0)
+            again = np.zeros(len(first), dtype=np.int64)
+            again[order[1:][same]] = 1
+            place = ((starts - offsets[of])[first] << 12) | (size[first] << 1) | again
+            span = ((ends[last] - starts[first]) << 22) | (before << 11) | after
+            take = pa.array(of[first])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("other").take(take), pa.array(digest.view(np.int64)), pa.array(place), pa.array(span)], names=["doc_id", "other", "digest", "place", "span"])
+
+    return docs.select("doc_id", "other", "text").mapInArrow(run, "doc_id long, other long, digest long, place long, span long")
+
+
+def equal_stretches(pairs: DataFrame, words: int) -> DataFrame:
+    """doc_id, other, start, n_bytes, n_words, first_doc_id of every stretch of whole words, `words` or more, in which the
+    bytes `a` of a text (from byte lo on) equal the bytes `b` of its source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "a"):
+            rows: list[list[int]] = [[] for _ in range(4)]
+            for i, (x, y, lo) in enumerate(zip(batch.column("a"), batch.column("b"), batch.column("lo").to_pylist())):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                n = min(len(x), len(y))
+                inside = np.concatenate([[False], _word_byte[x], [False]])
+                begins = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+                if len(begins) < words:
+                    continue
+                finish = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+                wrong = np.concatenate([[-1], np.flatnonzero(x[:n] != y[:n]), [n]])
+                for s, e in zip((wrong[:-1] + 1).tolist(), wrong[1:].tolist()):
+                    p, q = np.searchsorted(begins, s), np.searchsorted(finish, e, side="right")
+                    if q - p >= words:
+                        for row, v in zip(rows, (i, lo + begins[p], finish[q - 1] - begins[p], q - p)):
+                            row.append(int(v))
+            take, *found = (pa.array(r, pa.int64()) for r in rows)
+            ids = [batch.column(c).take(take) for c in ("doc_id", "other", "first_doc_id")]
+            yield pa.RecordBatch.from_arrays([*ids, *found], names=["doc_id", "other", "first_doc_id", "start", "n_bytes", "n_words"])
+
+    return pairs.select("doc_id", "other", "first_doc_id", "lo", "a", "b").mapInArrow(run, "doc_id long, other long, first_doc_id long, start long, n_bytes long, n_words long")
+
+
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, Column, list[str]]:
+    """doc_id, other, text of the rows with a doc_id, their key, and the columns that make it. `other` tells texts that share a
+    doc_id apart; where no doc_id is repeated it is 0 and the key is the doc_id."""
+    some = docs.filter("doc_id is not null")
+    if some.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return some.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("other"), "text"), F.struct("doc_id", "other"), ["doc_id", "other"]
+    return some.select("doc_id", F.lit(0).cast("long").alias("other"), "text"), F.col("doc_id"), ["doc_id"]
+
+
+def _verified(docs: DataFrame, words: int) -> DataFrame:
+    rows, key, parts = _told_apart(docs)
+    part = lambda k, name: (F.col(k) if len(parts) == 1 else F.col(f"{k}.{name}")) if name in parts else F.lit(0).cast("long")
+    p, s = F.col("place"), F.col("span")
+    windows = chunk_windows(rows).select(key.alias("key"), "digest", "place", "span")
+    firsts = windows.filter(p.bitwiseAND(F.lit(1)) == 0).groupBy("digest").agg(F.min("key").alias("src"), F.min_by(F.shiftright(p, 12), "key").alias("src_start"), F.max("key").alias("last"))
+    # Written, so that the join has a plain exchange on both sides and a very common window's rows can be split.
+    firsts = materialise(firsts.filter("last > src").select("digest", "src", "src_start"), "window-firsts")
+    again = windows.join(firsts, "digest").filter("key > src").select(
+        "key", "src", F.shiftright(p, 12).alias("start"), F.shiftright(p, 1).bitwiseAND(F.lit(2047)).alias("chunk"), (p.bitwiseAND(F.lit(1)) == 1).alias("repeated"), "src_start",
+        F.shiftright(s, 22).alias("size"), F.shiftright(s, 11).bitwiseAND(F.lit(2047)).alias("before"), s.bitwiseAND(F.lit(2047)).alias("after"),
     )
-    by = Window.partitionBy("doc_id").orderBy("start")
+    by = Window.partitionBy("key").orderBy("start")
     again = again.withColumn("_same", F.lag("start").over(by) == F.col("start")).filter("_same is null or not _same")  # repeated rows
-    fresh = F.when(F.lag(F.col("start") + F.col("size")).over(by) == F.col("start"), 0).otherwise(1)
+    fresh = F.when(F.lag(F.col("start") + F.col("chunk")).over(by) == F.col("start"), 0).otherwise(1)
     runs = again.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    # Single chunks may be in other documents by chance: the run's source is where most of its bytes are.
-    parts = runs.groupBy("doc_id", "run", "first_doc_id").agg(
-        F.min("start").alias("start"), F.sum("size").alias("n_bytes"), F.sum("words").alias("n_words"),
-        F.min(F.struct("start", "left")).alias("head"), F.max(F.struct("start", "right")).alias("tail"),
+    edges = Window.partitionBy("key", "run")
+    end = F.col("start") + F.col("size")
+    runs = runs.withColumn("run_lo", F.min(F.col("start") - F.col("before") - MARGIN).over(edges)).withColumn("run_hi", F.max(end + F.col("after") + MARGIN).over(edges))
+    wanted = runs.filter("not repeated").withColumn("shift", F.col("start") - F.col("src_start")).groupBy("key", "run", "src", "shift").agg(
+        F.min("start").alias("lo"), F.max(end).alias("hi"), F.min("run_lo").alias("run_lo"), F.max("run_hi").alias("run_hi"),
     )
-    runs = parts.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max(F.struct("n_bytes", -F.col("first_doc_id"))).alias("best"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"),
-        F.min("head").alias("head"), F.max("tail").alias("tail"),
+    many = F.count(F.lit(1)).over(edges) > 1
+    wanted = wanted.withColumn("far", many).select(
+        "key", "src", "shift", F.greatest(F.lit(0), "shift", F.when(F.col("far"), F.greatest("run_lo", F.col("lo") - REACH)).otherwise(F.col("run_lo"))).alias("lo"),
+        F.when(F.col("far"), F.least("run_hi", F.col("hi") + REACH)).otherwise(F.col("run_hi")).alias("hi"),
     )
-    runs = runs.select("doc_id", "start", "n_bytes", "n_words", (-F.col("best.col2")).alias("first_doc_id"), F.col("head.left").alias("left"), F.col("tail.right").alias("right"))
-    runs = runs.filter((F.col("n_words") >= sure) & (F.col("n_words") + F.col("left") + F.col("right") + EDGE >= words))
-    return runs.select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
+    wanted = materialise(wanted, "stretches-wanted")
+    drop_table(firsts)
+    same = ["key", "src", "shift", "lo", "hi"]
+    sides = wanted.select(*same, F.lit(0).alias("side"), F.col("key").alias("at"), F.col("lo").alias("from"))
+    sides = sides.unionByName(wanted.select(*same, F.lit(1).alias("side"), F.col("src").alias("at"), (F.col("lo") - F.col("shift")).alias("from")))
+    cut = F.substring(F.col("text").cast("binary"), (F.col("from") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    spans = materialise(rows.select(key.alias("at"), "text").join(sides, "at").select(*same, "side", cut.alias("bytes")), "spans")
+    pairs = spans.filter("side = 0").withColumnRenamed("bytes", "a").join(spans.filter("side = 1").withColumnRenamed("bytes", "b"), same)
+    pairs = pairs.select(part("key", "doc_id").alias("doc_id"), part("key", "other").alias("other"), part("src", "doc_id").alias("first_doc_id"), "lo", "a", "b")
+    found = equal_stretches(pairs, words).distinct()
+    order = Window.partitionBy("doc_id", "other").orderBy("start", -F.col("n_bytes"), "first_doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_reached", F.max(F.col("start") + F.col("n_bytes")).over(order)).filter(F.col("_reached").isNull() | (F.col("_reached") < F.col("start") + F.col("n_bytes"))).drop("_reached")
+    return found
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, start, n_bytes, n_words, first_doc_id: the stretches of `words` words and more that a document has in
+    common, byte by byte, with the first document that has one of their windows. start and n_bytes are UTF-8 bytes and cover whole words.
+
+    Documents are ordered by doc_id; texts that share a doc_id are told apart and ordered by their hash (first_doc_id can then be the own
+    doc_id); repeated rows with the same doc_id and text count as one. A stretch inside another one of its document
+    is left out; equally long ones name the smallest source. Rows with a null doc_id are left out; null and empty texts, and those of fewer
+    than SURE words, have no windows; a very long text is one row of a batch of its own; an empty table gives no rows. Other columns are not read.
+    """
+    return _verified(docs, words).select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
 
 
 def op7_gear_chunks(spark, sf_dir: str) -> DataFrame:
+    """The repeated passages of all `documents`, as repeated_passages gives them."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def drop_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every repeated passage is cut from all documents but the first that has it; a document
-    of which nothing is left goes. n_chars follows the text."""
-    spans = materialise(repeated_passages(docs), "spans")
-    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    text = F.col("text").cast("binary")
-    lengths = F.transform("_spans", lambda s: s["start"] + s["n_bytes"])
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), lengths)
-    begins = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.octet_length("text").cast("bigint")))
+    of which nothing is left goes. n_chars follows the text. Rows with a null doc_id or text, empty ones and those without a
+    passage stay as they are; texts that share a doc_id are cut by their own passages; an empty table stays empty; further
+    columns are kept, also if they are called like a helper column here."""
+    found = materialise(_verified(docs, WORDS), "passages")
+    spans = found.groupBy(F.col("doc_id").alias("__doc"), F.col("other").alias("__other")).agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("__spans"))
+    apart = found.filter("other != 0").limit(1).count() > 0
+    key = F.xxhash64(F.coalesce("d.text", F.lit(""))) if apart else F.lit(0).cast("long")
+    joined = docs.alias("d").join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.__doc")) & (F.col("s.__other") == key), "left")
+    spans, whole = F.col("s.__spans"), F.col("s.__spans").isNull()
+    text = F.col("d.text").cast("binary")
+    # No stretch is inside another, so ends ascend with starts; one may begin inside the one before.
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["start"] + s["n_bytes"]))
+    begins = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length("d.text").cast("bigint")))
     kept = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda x: F.substring(text, (x["a"] + 1).cast("int"), F.greatest(F.lit(0), x["b"] - x["a"]).cast("int")).cast("string")), "")
-    cut = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("_cut", cut).filter(F.col("_spans").isNull() | (F.trim("_cut") != ""))
-    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_cut").cast("long")) if "n_chars" in docs.columns else None
-    return out.select(*[F.col("_cut").alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.when(whole, F.col("d.text")).otherwise(kept)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("d.n_chars")).otherwise(F.char_length(kept).cast("long"))
+    return joined.filter(whole | (F.trim(kept) != "")).select(*[new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns])
 
 
-__all__ = ["cuts", "chunk_rows", "repeated_passages", "op7_gear_chunks", "drop_repeats"]
+__all__ = ["cuts", "chunk_windows", "equal_stretches", "repeated_passages", "op7_gear_chunks", "drop_repeats"]

@@ -57,7 +57,7 @@ def test_repeated_passages_across_documents(spark):
     text = {d: t.encode() for d, t in rows if t and d is not None}
     for r in got:
         part = text[r.doc_id][r.start : r.start + r.n_bytes]
-        assert part in text[r.first_doc_id] + b"" or r.n_bytes > 0
+        assert part in text[r.first_doc_id] and len(part.decode().split()) == r.n_words >= 50
 
 
 def test_stage_cuts_copies_and_keeps_the_rest(spark):
@@ -72,6 +72,59 @@ def test_stage_cuts_copies_and_keeps_the_rest(spark):
     assert list(got[1].asDict()) == docs.columns
 
 
+def longest_shared(a, b):
+    """Words of the longest run of whole words that two word lists share, by suffix comparison."""
+    at, best = {}, 0
+    for i, w in enumerate(b):
+        at.setdefault(w, []).append(i)
+    length: dict = {}
+    for w in a:
+        length = {j: length.get(j - 1, 0) + 1 for j in at.get(w, ())}
+        best = max([best, *length.values()])
+    return best
+
+
+def test_against_all_pairs_of_the_given_documents(spark):
+    """Every passage is in its source; documents that share 50 words with an earlier one are found, 0.95 of them at least."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = chunks.repeated_passages(docs).collect()
+    for r in got:
+        part = text[r.doc_id].encode()[r.start : r.start + r.n_bytes]
+        assert r.first_doc_id < r.doc_id and part in text[r.first_doc_id].encode()
+    words = {d: t.split() for d, t in text.items()}
+    grams: dict = {}
+    want = set()
+    for d in sorted(words):
+        mine = {tuple(words[d][i : i + 52]) for i in range(len(words[d]) - 51)}
+        if any(g in grams for g in mine):
+            want.add(d)
+        grams |= dict.fromkeys(mine, d)
+    found = {r.doc_id for r in got}
+    assert len(want) > 10 and len(want & found) >= 0.95 * len(want)
+    for d in found - want:
+        assert max(longest_shared(words[d], words[r.first_doc_id]) for r in got if r.doc_id == d) >= 45
+
+
+def test_periodic_text_and_a_passage_of_pieces(spark):
+    rng = random.Random(7)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(1, "tick " * 400), (2, "other start " + "tick " * 300), (3, prose(rng, 30) + " " + a), (4, b + " " + prose(rng, 30)), (5, prose(rng, 9) + " " + a + " " + b + " " + prose(rng, 9)), (6, prose(rng, 20) + " " + a + " " + b)]
+    got = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(2, 1), (6, 5)}
+    words = {r.doc_id: r.n_words for r in got}
+    assert words[6] == 80 and 280 <= words[2] <= 300  # at the one shift that is compared, the repeated word loses its first few
+
+
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    rng = random.Random(11)
+    p, q, r = prose(rng, 90), prose(rng, 90), prose(rng, 70)
+    rows = [(1, p), (2, prose(rng, 30) + " " + p), (2, q), (3, q), (3, r), (3, r)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7L as __spans", "8L as other", "9L as key")
+    kept = sorted((x.doc_id, x.text) for x in chunks.drop_repeats(spark, docs, "").collect())
+    assert kept == sorted([(1, p), (2, rows[1][1][: -len(p)]), (2, q), (3, r), (3, r)])
+
+
 def test_empty_table(no_docs, spark):
     assert chunks.repeated_passages(no_docs).count() == 0
     assert chunks.drop_repeats(spark, no_docs, "").count() == 0
