@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page becomes text blocks with their chain of open elements. A linear classifier over context,
-length and link density gives each block a cost for either label; those are the capacities to
-the two terminals. Blocks that follow each other, and blocks with a near common ancestor, are
-joined by smoothness edges. The maximum flow's source side is the content.
+A page becomes text blocks with their chain of open elements. A linear classifier over the innermost telling element,
+length, punctuation and link density gives each block log-odds of being content; times the share of a full line that it
+holds, they are its cost for either label and its capacity to the two terminals. So a short line follows its neighbours: blocks
+that follow each other, and blocks with a near common ancestor, are joined by smoothness edges of the same
+size as the costs. The maximum flow's source side is the content. On a page whose cut keeps nothing, all
+blocks outside boilerplate elements get PRIOR more, since a page has some content.
 """
 
 from __future__ import annotations
@@ -32,15 +34,18 @@ RAW = frozenset("script style noscript template textarea title iframe".split())
 CLOSED_BY = {"p": None, "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-#: Weights of the block classifier, positive for content: by element, by word in class, id or role.
-ELEMENTS = {"nav": -9, "footer": -9, "aside": -9, "form": -9, "menu": -9, "button": -9, "dialog": -9, "fieldset": -6, "header": -7, "article": 5, "main": 3}
+#: Log-odds of the block classifier: by element, by word in class, id or role. Of all elements around a block the
+#: most negative one counts, if there is one, else the most positive one.
+ELEMENTS = dict.fromkeys("nav footer aside form menu button dialog fieldset header".split(), -7.0) | {"article": 1.25, "main": 1.0}
 BAD_WORDS = dict.fromkeys(
     "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert "
     "newsletter subscribe subscription signup login social share sharing related recommended comment comments commentlist reply replies respond disqus discussion popup modal overlay widget toolbar pagination pager copyright legal disclaimer skip hidden search contentinfo complementary".split(),
-    -9,
+    -7.0,
 )
-GOOD_WORDS = dict.fromkeys("article content post entry story main body text prose".split(), 1.5)
-NEXT_EDGE, PARENT_EDGE, GRANDPARENT_EDGE = 0.4, 0.8, 0.3
+GOOD_WORDS = dict.fromkeys("article content post entry story main body text prose".split(), 1.0)
+#: Characters of a full line; what a block gets where a page would have no content, if its log-odds are over BOILERPLATE.
+LINE, PRIOR, BOILERPLATE = 80, 6.0, -3.5
+NEXT_EDGE, OWN_EDGE, ABOVE_EDGE, APART = 0.6, 1.0, 0.5, 0.2
 
 
 class _Open:
@@ -54,7 +59,7 @@ def _weight(tag: str, attributes: str, up: _Open) -> tuple[float, bool]:
     weight, skip = 0.0, False
     inside = up.article
     if tag in ELEMENTS and not (tag == "header" and inside):
-        weight += ELEMENTS[tag]
+        weight = ELEMENTS[tag]
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -64,13 +69,14 @@ def _weight(tag: str, attributes: str, up: _Open) -> tuple[float, bool]:
                 words = [w.lower() for w in _WORDS.findall(value)]
                 bad = any(w in BAD_WORDS for w in words)
                 good = any(w in GOOD_WORDS for w in words)
-                weight += -9 if bad else 1.5 if good else 0
+                weight = min(weight, -7.0) if bad else max(weight, 1.0) if good and weight >= 0 else weight
     return weight, skip
 
 
-def blocks(page: str) -> list[tuple[str, float, tuple[int, int]]]:
-    """(text, classifier score, numbers of its parent and grandparent elements) of every non-empty block."""
-    out: list[tuple[str, float, tuple[int, int]]] = []
+def blocks(page: str) -> list[tuple[str, float, tuple[int, int, int]]]:
+    """(text, classifier score, numbers of its own element, the one around that and the innermost telling one) of every
+    non-empty block."""
+    out: list[tuple[str, float, tuple[int, int, int]]] = []
     stack = [_Open("", 0, 0.0, False, False, False)]
     parts: list[str] = []
     linked = 0
@@ -82,7 +88,8 @@ def blocks(page: str) -> list[tuple[str, float, tuple[int, int]]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 holders = [x for x in stack if x.tag not in INLINE]
-                out.append((text, _score(text, holders, linked), (holders[-1].number, holders[-2].number if len(holders) > 1 else 0)))
+                told = next((x.number for x in reversed(holders) if x.weight), 0)
+                out.append((text, _score(text, holders, linked), (holders[-1].number, holders[-2].number if len(holders) > 1 else 0, told)))
             parts.clear()
         linked = 0
 
@@ -146,14 +153,18 @@ def blocks(page: str) -> list[tuple[str, float, tuple[int, int]]]:
 
 
 def _score(text: str, holders: list[_Open], linked: int) -> float:
+    """Capacity to the content terminal (positive) or the other one."""
     size = len(text)
-    score = sum(x.weight for x in holders)
-    score += 1.0 if size >= 200 else 0.5 if size >= 80 else -1.0 if size < 25 else 0.0
-    share = min(1.0, linked / size)
-    score -= 4.0 * share if share > 0.3 else 0.0
-    score += 0.5 if text[-1] in ".!?…\"”:" else -0.5
+    told = [x.weight for x in holders if x.weight]
+    odds = min(told) if told and min(told) < 0 else max(told, default=0.0)
     tag = holders[-1].tag
-    return score + (1.0 if tag in ("p", "h1", "h2", "h3", "blockquote", "pre") else -1.0 if tag in ("li", "td", "th", "label", "option") else 0.0)
+    row = tag in ("li", "td", "th", "dt", "dd", "label", "option")
+    odds += 2.0 if size >= 200 else 1.0 if size >= LINE else (-0.5 if row or size >= 25 else -2.25)
+    odds += 0.5 if text[-1] in ".!?…\"”:" else -0.5
+    share = min(1.0, linked / size)
+    odds -= 4.0 * share if share > 0.3 else 0.0
+    odds += 0.5 if tag in ("p", "h1", "h2", "h3", "blockquote", "pre") or row and odds > -3 else 0.0
+    return odds * min(1.0, size / LINE)
 
 
 def cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -216,23 +227,34 @@ def _max_flow(room: dict[int, dict[int, float]], source: int, sink: int) -> set[
             room[j][i] = room[j].get(i, 0.0) + flow
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def page_edges(found: list[tuple[str, float, tuple[int, int, int]]]) -> dict[tuple[int, int], float]:
+    """Smoothness edges between each block and the one before, the last one of its element, and the last one of the element
+    around that; an edge that leaves or enters a telling element has APART of its weight."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[tuple[str, int], int] = {}
-    for i, (_, _, (parent, above)) in enumerate(found):
+    for i, (_, _, (own, above, told)) in enumerate(found):
         links = [(i - 1, NEXT_EDGE)] if i else []
-        links += [(last[k], w) for k, w in ((("parent", parent), PARENT_EDGE), (("above", above), GRANDPARENT_EDGE)) if k in last]
+        links += [(last[k], w) for k, w in ((("own", own), OWN_EDGE), (("above", above), ABOVE_EDGE)) if k in last]
         for j, w in links:
-            edges[j, i] = edges.get((j, i), 0.0) + w
-        last["parent", parent] = last["above", above] = i
-    keep = cut([s for _, s, _ in found], edges)
+            edges[j, i] = edges.get((j, i), 0.0) + (w if found[j][2][2] == told else w * APART)
+        last["own", own] = last["above", above] = i
+    return edges
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    scores, edges = [s for _, s, _ in found], page_edges(found)
+    keep = cut(scores, edges)
+    if not any(keep):
+        share = [min(1.0, len(text) / LINE) for text, _, _ in found]
+        keep = cut([s + PRIOR * x if s > BOILERPLATE * x else s for s, x in zip(scores, share)], edges)
     return "\n".join(text for (text, _, _), yes in zip(found, keep) if yes)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row. A null or empty page, and one without content, has an empty
-    text. Repeated rows stay; other columns are not read."""
+    text. Repeated rows stay; a very long page comes in a batch of its own; a tie between labels goes to boilerplate unless a
+    neighbour is content; no rows give none; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -243,4 +265,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op6_mincut_main_text(spark, sf_dir: str) -> DataFrame:
+    """Main text of every page of `pages`."""
     return extract(table(spark, sf_dir, "pages"))
