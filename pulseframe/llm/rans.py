@@ -4,7 +4,8 @@ One frequency table, counted over the whole corpus, serves every block. A block
 documents and decodes alone: symbol i goes to lane i modulo the number of lanes, every lane has a
 63-bit state, and all lanes of a step advance together in NumPy. Every `checkpoint_steps` steps
 the block stores the states, the place in the word stream and a checksum, so that segments of one
-block decode in parallel too. Blocks are rows of a Parquet table (`write_blocks`).
+block decode in parallel too (`read_segments`). A file set is a folder with two Parquet tables, `blocks` and the shared
+`frequencies`; nothing else is needed to read it (`read_blocks`).
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import drop_table, materialise, table
+from .store import drop_table, materialise, new_folder, table
 from .token_ids import token_table, unit
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-MAGIC = b"RANSBLK1"
+MAGIC, VERSION = b"RANSBLK1", 1
 HEAD = struct.Struct("<8sIIIIII")
 BLOCK_IDS, LANES, CHECKPOINT_STEPS = 1 << 18, 1024, 64
 END_ID = 2
@@ -48,6 +49,21 @@ class Frequencies:
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]) if n else np.zeros(0, np.int64)
         self.key = zlib.crc32(np.concatenate([self.symbols, freq]).astype("<i8").tobytes())
 
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        return [(VERSION, self.key, int(s), int(f)) for s, f in zip(self.symbols, self.freq)]
+
+    @classmethod
+    def of_rows(cls, rows: list) -> Frequencies:
+        """The table as stored; rows are (version, key, id, freq). Checks version, sum and checksum."""
+        rows = sorted(rows, key=lambda r: r[2])
+        made = cls(np.zeros(0, np.int64), np.zeros(0))
+        made.symbols, made.freq = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        made.start = np.cumsum(made.freq) - made.freq
+        made.key = zlib.crc32(np.concatenate([made.symbols, made.freq]).astype("<i8").tobytes())
+        if rows and ({(r[0], r[1]) for r in rows} != {(VERSION, made.key)} or made.freq.sum() != 1 << SCALE):
+            raise ValueError("the frequency table is damaged or of another version")
+        return made
+
     def encoder(self) -> tuple[np.ndarray, np.ndarray]:
         top = int(self.symbols[-1]) + 1 if len(self.symbols) else 1
         freq, start = np.zeros(top, np.uint64), np.zeros(top, np.uint64)
@@ -113,6 +129,24 @@ def decode_segment(block: bytes, k: int, slots: np.ndarray, table: tuple[np.ndar
     return out
 
 
+def segment_block(block: bytes, k: int) -> bytes:
+    """Segment `k` of a block as a block of its own, without decoding it."""
+    magic, key, n, lanes, every, marks, n_words = HEAD.unpack_from(block)
+    place = lambda i: struct.unpack_from("<II", block, HEAD.size + 8 * i)
+    at, crc = place(k)
+    end = place(k + 1)[0] if k + 1 < marks else n_words
+    states = HEAD.size + 8 * marks
+    words = states + 8 * lanes * marks
+    ids = min(n, (k + 1) * every * lanes) - k * every * lanes
+    head = HEAD.pack(magic, key, ids, lanes, every, 1, end - at)
+    body = struct.pack("<II", 0, crc) + block[states + 8 * lanes * k : states + 8 * lanes * (k + 1)] + block[words + 4 * at : words + 4 * end]
+    return head + body + struct.pack("<I", zlib.crc32(head + body))
+
+
+def segments_of(block: bytes) -> list[bytes]:
+    return [segment_block(block, k) for k in range(HEAD.unpack_from(block)[5])]
+
+
 def decode_block(block: bytes, slots: np.ndarray, table: tuple[np.ndarray, np.ndarray], key: int) -> np.ndarray:
     magic, used, n, _, _, marks, _ = HEAD.unpack_from(block)
     if magic != MAGIC or used != key:
@@ -143,11 +177,12 @@ def count_ids(tokens: DataFrame, kind: str) -> Frequencies:
 
 
 BLOCK_SCHEMA = "shard int, block_no int, n_ids long, doc_ids array<long>, doc_sizes array<int>, body binary"
+TABLE_SCHEMA = "version int, key long, id long, freq long"
 
 
-def write_blocks(tokens: DataFrame, table: Frequencies, kind: str, name: str = "rans") -> DataFrame:
-    """Blocks of the table's documents in ascending doc_id (equal ids: by their tokens), written and
-    opened again. Shards are ranges of doc_id, numbered in that order."""
+def write_blocks(tokens: DataFrame, table: Frequencies, kind: str, name: str = "rans") -> str:
+    """Writes the table's documents in ascending doc_id (equal ids: by their tokens) as blocks, and the frequencies beside
+    them; the new folder. Shards are ranges of doc_id, numbered in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, number = table.encoder(), TaskContext.get().partitionId(), 0
@@ -174,11 +209,43 @@ def write_blocks(tokens: DataFrame, table: Frequencies, kind: str, name: str = "
             yield close()
 
     dealt = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return materialise(dealt.mapInArrow(run, BLOCK_SCHEMA), name, codec="none")
+    spark = tokens.sparkSession
+    path = new_folder(spark, name)
+    spark.createDataFrame(table.rows(), TABLE_SCHEMA).coalesce(1).write.parquet(f"{path}/frequencies")
+    dealt.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    return path
+
+
+def open_blocks(spark, path: str) -> tuple[DataFrame, Frequencies]:
+    """The blocks of a folder and its frequencies (at most one row per id of the vocabulary)."""
+    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"), Frequencies.of_rows([tuple(r) for r in spark.read.schema(TABLE_SCHEMA).parquet(f"{path}/frequencies").collect()])
+
+
+def read_segments(spark, path: str, parts: int) -> DataFrame:
+    """shard, block_no, segment, ids of every segment of the folder's blocks. A block is cut at its checkpoints into
+    rows that decode alone, and those are dealt to `parts` tasks."""
+    blocks, table = open_blocks(spark, path)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pieces = segments_of(row["body"])
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block_no"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(pieces, pa.binary())], names=["shard", "block_no", "segment", "body"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, coder = table.decoder(), table.encoder()
+        for batch in batches:
+            ids = [decode_block(x.as_py(), slots, coder, table.key).astype("<u4").tobytes() for x in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "block_no", "segment")), pa.array(ids, pa.binary())], names=["shard", "block_no", "segment", "ids"])
+
+    rows = blocks.mapInArrow(cut, "shard int, block_no int, segment int, body binary").repartition(parts, "shard", "block_no", "segment")
+    return rows.mapInArrow(decode, "shard int, block_no int, segment int, ids binary")
 
 
-def read_blocks(blocks: DataFrame, table: Frequencies) -> DataFrame:
-    """shard, block_no, at (ids of the block before the document), doc_id, ids of every document."""
+def read_blocks(spark, path: str) -> DataFrame:
+    """shard, block_no, at (ids of the block before the document), doc_id, ids of every document of a folder."""
+    blocks, table = open_blocks(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, coder = table.decoder(), table.encoder()
@@ -210,17 +277,18 @@ def with_starts(decoded: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Tokenise, write blocks, read them back; doc_id, start and ids as stored.
+    """Tokenise, write blocks and frequencies, read them back; doc_id, start and ids as stored.
 
     A null text is an empty one and has the end id alone; an empty table gives no rows; repeated
-    doc_ids each keep a row; a null doc_id sorts first. Columns besides doc_id and text are not read.
+    doc_ids each keep a row, ordered by their tokens; a null doc_id sorts first; a very long text is one block. Columns besides doc_id and text are not read.
     """
     tokens = materialise(token_table(docs, path, end_id), "tokens")
     kind = unit(path)
     table = count_ids(tokens, kind)
-    blocks = write_blocks(tokens, table, kind)
+    path = write_blocks(tokens, table, kind)
     drop_table(tokens)
-    return with_starts(digest(read_blocks(blocks, table)), blocks)
+    spark = docs.sparkSession
+    return with_starts(digest(read_blocks(spark, path)), open_blocks(spark, path)[0])
 
 
 def digest(decoded: DataFrame) -> DataFrame:
@@ -229,10 +297,11 @@ def digest(decoded: DataFrame) -> DataFrame:
 
 
 def op1_rans_token_blocks(spark, sf_dir: str) -> DataFrame:
+    """Starts, counts and checksums of the token ids of all `documents`, read back from the blocks."""
     import public_tokenizers
 
     out = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-__all__ = ["Frequencies", "encode_block", "decode_block", "decode_segment", "count_ids", "write_blocks", "read_blocks", "with_starts", "round_trip", "op1_rans_token_blocks"]
+__all__ = ["Frequencies", "encode_block", "decode_block", "decode_segment", "count_ids", "write_blocks", "open_blocks", "read_blocks", "read_segments", "segment_block", "with_starts", "round_trip", "op1_rans_token_blocks"]

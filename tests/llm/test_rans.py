@@ -53,3 +53,51 @@ def test_blocks_and_segments(n):
     broken[-9] ^= 1
     with pytest.raises(ValueError):
         rans.decode_block(bytes(broken), slots, table.encoder(), table.key)
+    alone = [rans.decode_block(rans.segment_block(block, k), slots, table.encoder(), table.key) for k in reversed(range(marks))]
+    assert (np.concatenate(alone[::-1]) == ids).all()
+
+
+READ = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[2])
+from pulseframe.llm import rans
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = rans.digest(rans.read_blocks(spark, sys.argv[1])).collect()
+print("READ", sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows))
+"""
+
+
+def test_files_stand_alone(spark, documents, monkeypatch, tmp_path):
+    """Another process reads the folder with nothing but its path; segments decode as rows of their own."""
+    import os
+    import subprocess
+    import sys
+
+    from pulseframe.llm.token_ids import token_table, unit
+
+    monkeypatch.setattr(rans, "BLOCK_IDS", 1 << 16)
+    tokens = token_table(documents, PATH, 2)
+    path = rans.write_blocks(tokens, rans.count_ids(tokens, unit(PATH)), unit(PATH))
+    want = [(d, n, c) for d, _, n, c in expected([(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()])]
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root}
+    out = subprocess.run([sys.executable, "-c", READ, path, root], capture_output=True, text=True, env=env, timeout=300)
+    assert f"READ {want}" in out.stdout, out.stderr[-2000:]
+    parts = rans.read_segments(spark, path, 3).collect()
+    whole: dict = {}
+    for r in sorted(parts, key=lambda r: (r.shard, r.block_no, r.segment)):
+        whole[r.shard, r.block_no] = whole.get((r.shard, r.block_no), b"") + r.ids
+    blocks: dict = {}
+    for r in sorted(rans.read_blocks(spark, path).collect(), key=lambda r: (r.shard, r.block_no, r["at"])):
+        blocks[r.shard, r.block_no] = blocks.get((r.shard, r.block_no), b"") + r.ids
+    assert whole == blocks and len(parts) > len(blocks)
+
+
+def test_damaged_frequencies_are_refused():
+    table = rans.Frequencies(np.array([1, 5]), np.array([3, 4]))
+    again = rans.Frequencies.of_rows(table.rows())
+    assert again.key == table.key and (again.start == table.start).all() and len(rans.Frequencies.of_rows([]).freq) == 0
+    for rows in (table.rows()[:1], [(9, *r[1:]) for r in table.rows()], [(*r[:3], r[3] + 1) for r in table.rows()]):
+        with pytest.raises(ValueError):
+            rans.Frequencies.of_rows(rows)
