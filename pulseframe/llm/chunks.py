@@ -34,6 +34,14 @@ U = np.uint64
 _gear = (mix(np.arange(1, 257, dtype=np.uint64) * U(0x2545F4914F6CDD1D)) >> U(33)).astype(np.uint32)
 
 
+def _joined(n: int, *places: np.ndarray) -> np.ndarray:
+    """The distinct places (1 to n), ascending."""
+    mark = np.zeros(n + 1, dtype=bool)
+    for at in places:
+        mark[at] = True
+    return np.flatnonzero(mark)
+
+
 def _spaced(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Of places closer than LEAST to the one before, in chains, those LEAST or more after the last one kept."""
     if not len(at):
@@ -65,13 +73,19 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     whole = lambda at: at[(at - offsets[np.searchsorted(offsets, at - 1, side="right") - 1] >= WINDOW) & (at < len(data))]  # noqa: E731  no bytes of the text before
     begins = lambda at: at[(data[at] & 0xC0) != 0x80]
     at = begins(_spaced(whole(np.flatnonzero(rolled == 0) + 1), offsets))
-    ends = np.union1d(at, offsets[1:][np.diff(offsets) > 0])
+    ends = _joined(len(data), at, offsets[1:][np.diff(offsets) > 0])
     gaps = np.diff(np.concatenate([[0], ends]))
+    found = []
     for e, g in zip(ends[gaps > QUIET].tolist(), gaps[gaps > QUIET].tolist()):
-        part = h[e - g : e] & np.uint32(0xFFFF)
-        least = np.lib.stride_tricks.sliding_window_view(part, LOCAL).min(axis=1)
-        more = whole(np.flatnonzero(part[LOCAL - 1 :] == least) + (e - g + LOCAL))
-        ends = np.union1d(ends, begins(_spaced(more[more < e], offsets)))
+        least = part = h[e - g : e] & np.uint32(0xFFFF)
+        span = 1
+        while span < LOCAL:  # the least of the last 2 * span values
+            least = np.minimum(least[span:], least[:-span])
+            span *= 2
+        found.append(np.flatnonzero(part[LOCAL - 1 :] == least) + (e - g + LOCAL))
+    if found:
+        more = whole(np.concatenate(found))
+        ends = _joined(len(data), ends, begins(_spaced(more, offsets)))
     gaps = np.diff(np.concatenate([[0], ends]))
     if len(gaps) and gaps.max() > LONGEST:
         more = [np.arange(e - g + LONGEST - 3, e, LONGEST - 3) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST])]
@@ -79,7 +93,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         back = more.copy()
         for _ in range(3):  # not inside a character
             back -= (data[back] & 0xC0) == 0x80
-        ends = np.union1d(ends, back)
+        ends = _joined(len(data), ends, back)
     return ends
 
 
