@@ -142,24 +142,37 @@ def chunk_windows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "other", "text").mapInArrow(run, "doc_id long, other long, digest long, place long, span long")
 
 
+def _inner(data: np.ndarray, lead: int, size: int) -> tuple[np.ndarray, list[bool]]:
+    """The bytes without the one before (if `lead`) and the one after, and whether those two belong to words."""
+    last = lead + size
+    return data[lead:last], [bool(lead and _word_byte[data[0]]), bool(len(data) > last and _word_byte[data[last]])]
+
+
 def equal_stretches(pairs: DataFrame, words: int) -> DataFrame:
     """doc_id, other, start, n_bytes, n_words, first_doc_id of every stretch of whole words, `words` or more, in which the
-    bytes `a` of a text (from byte lo on) equal the bytes `b` of its source."""
+    bytes lo to hi of a text equal those of its source from from_b on; `a` and `b` hold them and the bytes next to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "a"):
             rows: list[list[int]] = [[] for _ in range(4)]
-            for i, (x, y, lo) in enumerate(zip(batch.column("a"), batch.column("b"), batch.column("lo").to_pylist())):
+            for i, (x, y, lo, hi, from_b) in enumerate(zip(*(batch.column(c) for c in ("a", "b")), *(batch.column(c).to_pylist() for c in ("lo", "hi", "from_b")))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                x, edges = _inner(x, min(lo, 1), hi - lo)
+                y, other = _inner(y, min(from_b, 1), hi - lo)
                 n = min(len(x), len(y))
-                inside = np.concatenate([[False], _word_byte[x], [False]])
+                inside = np.concatenate([edges[:1], _word_byte[x], edges[1:]])
+                theirs = np.concatenate([other[:1], _word_byte[y], other[1:]])
                 begins = np.flatnonzero(inside[1:-1] & ~inside[:-2])
                 if len(begins) < words:
                     continue
                 finish = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+                finish = finish[finish > begins[0]]  # not of a word that began before
                 wrong = np.concatenate([[-1], np.flatnonzero(x[:n] != y[:n]), [n]])
                 for s, e in zip((wrong[:-1] + 1).tolist(), wrong[1:].tolist()):
                     p, q = np.searchsorted(begins, s), np.searchsorted(finish, e, side="right")
+                    # A word that is part of a longer one in the source does not count.
+                    p += p < len(begins) and begins[p] == s and theirs[s]
+                    q -= q > 0 and finish[q - 1] == e and theirs[e + 1]
                     if q - p >= words:
                         for row, v in zip(rows, (i, lo + begins[p], finish[q - 1] - begins[p], q - p)):
                             row.append(int(v))
@@ -167,7 +180,7 @@ def equal_stretches(pairs: DataFrame, words: int) -> DataFrame:
             ids = [batch.column(c).take(take) for c in ("doc_id", "other", "first_doc_id")]
             yield pa.RecordBatch.from_arrays([*ids, *found], names=["doc_id", "other", "first_doc_id", "start", "n_bytes", "n_words"])
 
-    return pairs.select("doc_id", "other", "first_doc_id", "lo", "a", "b").mapInArrow(run, "doc_id long, other long, first_doc_id long, start long, n_bytes long, n_words long")
+    return pairs.select("doc_id", "other", "first_doc_id", "lo", "hi", "from_b", "a", "b").mapInArrow(run, "doc_id long, other long, first_doc_id long, start long, n_bytes long, n_words long")
 
 
 def _told_apart(docs: DataFrame) -> tuple[DataFrame, Column, list[str]]:
@@ -209,12 +222,14 @@ def _verified(docs: DataFrame, words: int) -> DataFrame:
     wanted = materialise(wanted, "stretches-wanted")
     drop_table(firsts)
     same = ["key", "src", "shift", "lo", "hi"]
-    sides = wanted.select(*same, F.lit(0).alias("side"), F.col("key").alias("at"), F.col("lo").alias("from"))
-    sides = sides.unionByName(wanted.select(*same, F.lit(1).alias("side"), F.col("src").alias("at"), (F.col("lo") - F.col("shift")).alias("from")))
-    cut = F.substring(F.col("text").cast("binary"), (F.col("from") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    size = F.col("hi") - F.col("lo")
+    before = lambda c: F.least(c, F.lit(1))  # noqa: E731  the byte before, where there is one
+    side = lambda k, at, c: wanted.select(*same, F.lit(k).alias("side"), F.col(at).alias("at"), (c - before(c)).alias("from"), (size + before(c) + 1).alias("size"))
+    sides = side(0, "key", F.col("lo")).unionByName(side(1, "src", F.col("lo") - F.col("shift")))
+    cut = F.substring(F.col("text").cast("binary"), (F.col("from") + 1).cast("int"), F.col("size").cast("int"))
     spans = materialise(rows.select(key.alias("at"), "text").join(sides, "at").select(*same, "side", cut.alias("bytes")), "spans")
     pairs = spans.filter("side = 0").withColumnRenamed("bytes", "a").join(spans.filter("side = 1").withColumnRenamed("bytes", "b"), same)
-    pairs = pairs.select(part("key", "doc_id").alias("doc_id"), part("key", "other").alias("other"), part("src", "doc_id").alias("first_doc_id"), "lo", "a", "b")
+    pairs = pairs.select(part("key", "doc_id").alias("doc_id"), part("key", "other").alias("other"), part("src", "doc_id").alias("first_doc_id"), "lo", "hi", (F.col("lo") - F.col("shift")).alias("from_b"), "a", "b")
     found = equal_stretches(pairs, words).distinct()
     order = Window.partitionBy("doc_id", "other").orderBy("start", -F.col("n_bytes"), "first_doc_id").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("_reached", F.max(F.col("start") + F.col("n_bytes")).over(order)).filter(F.col("_reached").isNull() | (F.col("_reached") < F.col("start") + F.col("n_bytes"))).drop("_reached")

@@ -125,6 +125,17 @@ def test_texts_that_share_a_doc_id_are_told_apart(spark):
     assert kept == sorted([(1, p), (2, rows[1][1][: -len(p)]), (2, q), (3, r), (3, r)])
 
 
+def test_cuts_of_the_stage_keep_characters_whole(spark):
+    """Long words of two-byte letters around and inside the compared spans."""
+    rng = random.Random(3)
+    p = " ".join("".join(rng.choice("äöüßéè") for _ in range(rng.randint(2, 30))) for _ in range(70))
+    rows = [(i, "".join(rng.choice("äöüéè") for _ in range(300 + i)) + p + "".join(rng.choice("äöüéè") for _ in range(200 + i))) for i in range(12)]
+    kept = chunks.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert len(kept) == 12
+    for r in kept:
+        assert "\ufffd" not in r.text and (len(r.text) < 800 or r.doc_id == 0)
+
+
 def test_empty_table(no_docs, spark):
     assert chunks.repeated_passages(no_docs).count() == 0
     assert chunks.drop_repeats(spark, no_docs, "").count() == 0
