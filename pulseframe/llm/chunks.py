@@ -75,9 +75,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = begins(_spaced(whole(np.flatnonzero(rolled == 0) + 1), offsets))
     ends = _joined(len(data), at, offsets[1:][np.diff(offsets) > 0])
     gaps = np.diff(np.concatenate([[0], ends]))
-    found = []
+    found, begin = [], set(offsets.tolist()) if (gaps > QUIET).any() else ()
     for e, g in zip(ends[gaps > QUIET].tolist(), gaps[gaps > QUIET].tolist()):
-        least = part = h[e - g : e] & np.uint32(0xFFFF)
+        part = h[e - g : e] & np.uint32(0xFFFF)
+        if e - g in begin:
+            part[: WINDOW - 1] = 0xFFFF  # sums that reach into the text before
+        least = part
         span = 1
         while span < LOCAL:  # the least of the last 2 * span values
             least = np.minimum(least[span:], least[:-span])
@@ -142,10 +145,61 @@ def chunk_windows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "other", "text").mapInArrow(run, "doc_id long, other long, digest long, place long, span long")
 
 
-def _inner(data: np.ndarray, lead: int, size: int) -> tuple[np.ndarray, list[bool]]:
-    """The bytes without the one before (if `lead`) and the one after, and whether those two belong to words."""
-    last = lead + size
-    return data[lead:last], [bool(lead and _word_byte[data[0]]), bool(len(data) > last and _word_byte[data[last]])]
+def _spans(column: pa.Array, lead: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of byte strings with `lead` bytes before and at most one after the inner part of `size` bytes: all bytes, where each
+    inner part begins, how long it is, and whether the bytes next to it belong to words (2 x rows)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    begin, end = offsets[:-1] + lead, offsets[1:]
+    have = np.minimum(size, np.maximum(end - begin, 0))
+    word = np.append(_word_byte[data], False)
+    edges = np.stack([(lead > 0) & word[offsets[:-1]], (end > begin + size) & word[np.minimum(begin + size, len(data))]])
+    return data, begin, have, edges
+
+
+def _stretches(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
+    lo, hi, from_b = (batch.column(c).to_numpy() for c in ("lo", "hi", "from_b"))
+    x_all, x_at, x_has, x_edge = _spans(batch.column("a"), np.minimum(lo, 1), hi - lo)
+    y_all, y_at, y_has, y_edge = _spans(batch.column("b"), np.minimum(from_b, 1), hi - lo)
+    n = np.minimum(x_has, y_has)
+    some = np.flatnonzero(n > 0)
+    size, row_at = n[some], np.cumsum(n[some]) - n[some]
+    step = np.arange(size.sum()) - np.repeat(row_at, size)
+    x, y = x_all[np.repeat(x_at[some], size) + step], y_all[np.repeat(y_at[some], size) + step]
+    row_end = row_at + size - 1
+    # Of each side: whether the byte before and after a place belongs to a word; the sides have one byte more.
+    mine, theirs = _word_byte[x], _word_byte[y]
+    around = []
+    for side, edge, data, at, has in ((mine, x_edge, x_all, x_at, x_has), (theirs, y_edge, y_all, y_at, y_has)):
+        before, after = np.append(False, side[:-1]), np.append(side[1:], False)
+        before[row_at] = edge[0][some]
+        more = has[some] > size  # the other side ends first
+        after[row_end] = np.where(more, _word_byte[data[np.minimum(at[some] + size, len(data) - 1)]], edge[1][some])
+        around.append((before, after))
+    begins, finish = np.flatnonzero(mine & ~around[0][0]), np.flatnonzero(mine & ~around[0][1]) + 1
+    same = x == y
+    first, last = same.copy(), same.copy()
+    first[1:] &= ~same[:-1]
+    first[row_at] = same[row_at]
+    last[:-1] &= ~same[1:]
+    last[row_end] = same[row_end]
+    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    keep = e - s >= 2 * words - 1
+    s, e = s[keep], e[keep]
+    p, q = np.searchsorted(begins, s), np.searchsorted(finish, e, side="right") - 1
+    # A word that is part of a longer one in the source does not count.
+    p = p + ((p < len(begins)) & (np.append(begins, -1)[p] == s) & around[1][0][s])
+    q = q - ((q >= 0) & (np.append(finish, -1)[q] == e) & around[1][1][e - 1])
+    good = (p < len(begins)) & (q >= 0)
+    s, p, q = s[good], p[good], q[good]
+    n_words = np.searchsorted(begins, finish[q]) - p
+    good = n_words >= words
+    s, p, q, n_words = s[good], p[good], q[good], n_words[good]
+    k = np.searchsorted(row_at, s, side="right") - 1
+    take = pa.array(some[k])
+    found = [lo[some[k]] + begins[p] - row_at[k], finish[q] - begins[p], n_words]
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "other", "first_doc_id")), *(pa.array(v.astype(np.int64)) for v in found)], names=["doc_id", "other", "first_doc_id", "start", "n_bytes", "n_words"])
 
 
 def equal_stretches(pairs: DataFrame, words: int) -> DataFrame:
@@ -154,31 +208,7 @@ def equal_stretches(pairs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "a"):
-            rows: list[list[int]] = [[] for _ in range(4)]
-            for i, (x, y, lo, hi, from_b) in enumerate(zip(*(batch.column(c) for c in ("a", "b")), *(batch.column(c).to_pylist() for c in ("lo", "hi", "from_b")))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                x, edges = _inner(x, min(lo, 1), hi - lo)
-                y, other = _inner(y, min(from_b, 1), hi - lo)
-                n = min(len(x), len(y))
-                inside = np.concatenate([edges[:1], _word_byte[x], edges[1:]])
-                theirs = np.concatenate([other[:1], _word_byte[y], other[1:]])
-                begins = np.flatnonzero(inside[1:-1] & ~inside[:-2])
-                if len(begins) < words:
-                    continue
-                finish = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-                finish = finish[finish > begins[0]]  # not of a word that began before
-                wrong = np.concatenate([[-1], np.flatnonzero(x[:n] != y[:n]), [n]])
-                for s, e in zip((wrong[:-1] + 1).tolist(), wrong[1:].tolist()):
-                    p, q = np.searchsorted(begins, s), np.searchsorted(finish, e, side="right")
-                    # A word that is part of a longer one in the source does not count.
-                    p += p < len(begins) and begins[p] == s and theirs[s]
-                    q -= q > 0 and finish[q - 1] == e and theirs[e + 1]
-                    if q - p >= words:
-                        for row, v in zip(rows, (i, lo + begins[p], finish[q - 1] - begins[p], q - p)):
-                            row.append(int(v))
-            take, *found = (pa.array(r, pa.int64()) for r in rows)
-            ids = [batch.column(c).take(take) for c in ("doc_id", "other", "first_doc_id")]
-            yield pa.RecordBatch.from_arrays([*ids, *found], names=["doc_id", "other", "first_doc_id", "start", "n_bytes", "n_words"])
+            yield _stretches(batch, words)
 
     return pairs.select("doc_id", "other", "first_doc_id", "lo", "hi", "from_b", "a", "b").mapInArrow(run, "doc_id long, other long, first_doc_id long, start long, n_bytes long, n_words long")
 

@@ -171,7 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTE
     # A window that an item repeats counts once, at its first place: else a repetitive item meets a repetitive
     # document in the product of their lengths.
     first = F.min(F.struct("at", "slots", "kinds")).alias("f")
-    items = template_windows(benchmark, "item_id").groupBy("id", "hash", "width", "literal").agg(first).select("id", "hash", "width", "literal", "f.*").persist()
+    items = template_windows(benchmark, "item_id").groupBy("id", "hash", "width", "literal").agg(first).select("id", "hash", "width", "literal", "f.*")
+    items = materialise(items, "item-windows")
     hashes = items.select("hash").distinct()
     only = None
     if hashes.count() <= filter_most:

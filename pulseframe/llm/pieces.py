@@ -433,13 +433,16 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
 
 
 def op5_gumbel_segmentations(spark, sf_dir: str) -> DataFrame:
+    """Digests of two segmentations of every row of `documents`."""
     import public_tokenizers
 
     return sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the segmentations of every document that is left."""
+    """Last pipeline stage: the segmentations of every document that is left, in one pass without a shuffle. Null and empty texts have
+    one without pieces; repeated rows each keep theirs; a very long text is worked on in parts of its lattice, all of which are in
+    memory; an empty table gives no rows; further columns are not read."""
     import public_tokenizers
 
     return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)

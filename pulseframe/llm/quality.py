@@ -68,6 +68,7 @@ class NaiveBayesVectors:
     def __init__(self, x: list[np.ndarray], y: np.ndarray, calibration: int = 5):
         """Every `calibration`-th row is kept from the fit and sets the curve from margins to scores."""
         self.at, self.weight, self.ratio, self.bias, self.curve = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32), 0.0, (1.0, 0.0)
+        self.dense = None
         if not len(y) or y.min() == y.max():
             self.curve = (1.0, 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
             return
@@ -88,8 +89,10 @@ class NaiveBayesVectors:
         return v / max(1e-9, float(np.sqrt(v @ v)))
 
     def __call__(self, of: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        weight, ratio = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
-        weight[self.at], ratio[self.at] = self.weight, self.ratio
+        if self.dense is None:  # made once in each task
+            self.dense = np.zeros((2, 1 << BITS), np.float32)
+            self.dense[:, self.at] = self.weight, self.ratio
+        weight, ratio = self.dense
         norm = np.sqrt(np.bincount(of, weights=ratio[features].astype(np.float64) ** 2, minlength=n))
         margin = np.bincount(of, weights=weight[features], minlength=n) / np.maximum(norm, 1e-9) + self.bias
         return logistic(self.curve[0] * margin + self.curve[1])
@@ -100,11 +103,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
     The model is fitted on at most `fit_rows` labelled rows outside the held-out quarter. Without
     labelled rows every score is 0.5; with one class alone it is that class's. Null and empty texts get
-    the bias's score. Repeated rows stay.
+    the bias's score. Repeated rows stay and have equal scores; a very long text is scored whole; a score equal to the threshold
+    counts as 1; no rows give none; other columns are not read.
     """
     model = NaiveBayesVectors(*labelled_sample(docs, labels, "quality", fit_rows, shape_grams))
     return score_documents(docs, shape_grams, model, THRESHOLD)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality score of every row of `documents`."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

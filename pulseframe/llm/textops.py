@@ -17,7 +17,8 @@ U = np.uint64
 #: Fixed odd multipliers of the mixing functions.
 MIX1, MIX2, BASE = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 4 << 20
+#: Texts are worked on in slices of so many bytes; smaller ones are no slower and keep a worker small.
+SLICE_BYTES = 1 << 20
 
 _word_byte = np.zeros(256, dtype=bool)
 _word_byte[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -68,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 class Words:

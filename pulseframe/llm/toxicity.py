@@ -52,30 +52,36 @@ class SparseLogistic:
         weights, self.bias = fit_ftrl(x, y) if len(y) else (np.zeros(1 << BITS), 0.0)
         self.at = np.flatnonzero(weights)
         self.kept = weights[self.at].astype(np.float32)
+        self.dense = None
 
     def __call__(self, of: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[self.at] = self.kept
-        return logistic(np.bincount(of, weights=dense[features], minlength=n) + self.bias)
+        if self.dense is None:  # made once in each task
+            self.dense = np.zeros(1 << BITS, np.float32)
+            self.dense[self.at] = self.kept
+        return logistic(np.bincount(of, weights=self.dense[features], minlength=n) + self.bias)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score (probability of toxic) and predicted of every document.
 
     The model is fitted on at most `fit_rows` labelled rows outside the held-out quarter. Without
-    labelled rows every score is 0.5. Null and empty texts get the intercept's score. Repeated rows stay.
+    labelled rows every score is 0.5. Null and empty texts get the intercept's score. Repeated rows stay and have equal scores; a
+    very long text is scored whole; a score equal to the threshold counts as toxic; no rows give none; other columns are not read.
     """
     model = SparseLogistic(*labelled_sample(docs, labels, "toxic", fit_rows, skip_grams))
     return score_documents(docs, skip_grams, model, THRESHOLD)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity score of every row of `documents`."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def reject_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows whose score stays under the threshold, all columns unchanged, in one pass
-    without a shuffle. Without labelled rows nothing is rejected."""
+    without a shuffle. Without labelled rows nothing is rejected. Null and empty texts have the intercept's score; rows with a null
+    doc_id are scored like others; repeated rows share their fate; a very long text is scored whole; an empty table stays empty;
+    further columns are kept and not read."""
     x, y = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", FIT_ROWS, skip_grams)
     if not len(y):
         return docs

@@ -44,5 +44,35 @@ def test_clean_documents_stay_whole(spark, steps):
     assert all(len(after[d]) <= len(before[d]) for d in after)
 
 
+def test_stages_against_brute_force(spark, steps):
+    """Near duplicates by all pairs; repeated passages and benchmark passages by sets of word windows."""
+    from test_neardup import brute
+
+    at = {k: {r.doc_id: r.text for r in v.select("doc_id", "text").collect()} for k, v in steps[:-1]}
+    classes = brute(list(at["toxicity"].items()))
+    wrong = {d for d in at["toxicity"] if (classes[d] == d) != (d in at["near_duplicates"])}
+    assert len(wrong) <= 0.01 * len(at["toxicity"])
+    before, after = at["near_duplicates"], at["substring_dedup"]
+    width, seen, missed, changed = 55, {}, 0, 0
+    for d in sorted(before):
+        windows = lambda t: {" ".join(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)}
+        mine = windows(before[d])
+        repeats = any(seen.get(w, d) != d for w in mine)
+        missed += repeats and any(seen.get(w, d) != d for w in windows(after.get(d, "")))
+        changed += after.get(d) != before[d]
+        for w in mine:
+            seen.setdefault(w, d)
+        words = before[d].split()
+        kept = iter(words)
+        assert all(any(w.endswith(x) or w.startswith(x) for w in kept) for x in after.get(d, "").split()[:3])
+    assert changed > 0 and missed <= 0.05 * changed
+    items = [r.text.lower().split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {" ".join(t[i : i + 20]) for t in items for i in range(len(t) - 19)}
+    for d, t in at["substring_dedup"].items():
+        words = t.lower().split()
+        if any(" ".join(words[i : i + 20]) in grams for i in range(len(words) - 19)):
+            assert d not in at["decontamination"]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
