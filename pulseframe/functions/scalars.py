@@ -67,6 +67,14 @@ def setting_slug(window: float, overlap: float) -> str:
     return f"w{window:g}_o{overlap:g}".replace(".", "p")
 
 
+def parse_setting(text: Column) -> Column:
+    """Struct of window and overlap seconds of `W:O`; null unless both are finite, W > 0 and 0 <= O < W."""
+    parts = F.split(F.trim(text), ":")
+    w, o = (F.try_element_at(parts, F.lit(i)).try_cast("double") for i in (1, 2))
+    fits = (F.size(parts) == 2) & (w > 0) & (o >= 0) & (o < w) & (w < float("inf")) & ~F.isnan(w) & ~F.isnan(o)
+    return F.when(fits, F.struct(w.alias("window_s"), o.alias("overlap_s")))
+
+
 def slug(window: Column, overlap: Column) -> Column:
     """`setting_slug` over columns."""
     text = lambda c: F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
@@ -98,6 +106,37 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def encode_scores(scores: Column) -> Column:
+    """JSON text of a score vector; null stays null, NaN and infinite elements become null inside."""
+    return F.to_json(F.transform(scores, lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)))
+
+
+def decode_scores(text: Column) -> Column:
+    return F.from_json(text, "array<double>")
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON text of named values with sorted keys, nulls kept: equal values have equal text."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def flatten_json(text: Column) -> Column:
+    """Array of (path, kind, value) for every leaf of an object's JSON text, whatever its fields, two levels deep: `kind` is number, bool,
+    text, list (its JSON text as it stands) or null (value empty). Objects below the second level stay as their text."""
+    level = lambda t: F.map_entries(F.from_json(t, "map<string,string>"))
+    is_object = lambda v: v.rlike(r"^\s*\{")
+
+    def leaf(path: Column, v: Column) -> Column:
+        kind = F.when(v.isNull(), "null").when(v.rlike(r"^\s*\["), "list").when(is_object(v), "object").when(v.isin("true", "false"), "bool").when(v.try_cast("double").isNotNull(), "number").otherwise("text")
+        return F.struct(path.alias("path"), kind.alias("kind"), F.coalesce(v, F.lit("")).alias("value"))
+
+    def one(e: Column) -> Column:
+        inner = F.transform(level(e["value"]), lambda x: leaf(F.concat(e["key"], F.lit("."), x["key"]), x["value"]))
+        return F.when(is_object(e["value"]), inner).otherwise(F.array(leaf(e["key"], e["value"])))
+
+    return F.array_sort(F.flatten(F.transform(level(text), one)))
+
+
 def hashed_unit(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone; stands in for a seeded generator."""
     return stable_seed(*parts) / F.lit(float(1 << 32))

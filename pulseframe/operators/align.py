@@ -86,5 +86,40 @@ def append(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def first_of_each(df: DataFrame, keys: Keys, order: str) -> DataFrame:
-    return latest(df, keys, order)
+def keep_keys(df: DataFrame, kept: DataFrame, keys: Keys) -> DataFrame:
+    """Rows whose key is among `kept` (common trials, eligible subjects, a fold's subjects); repeated keys there change nothing."""
+    return df.join(kept.select(*keys).distinct(), keys, "left_semi")
+
+
+def eligible_trials(inputs: list[DataFrame], trial: Keys, codes: list[str]) -> DataFrame:
+    """Trials that every input has with a class for every one of the encoded targets `codes`."""
+    for code in codes:
+        inputs = [x.filter(F.col(code).isNotNull()) for x in inputs]
+    return common_trials(inputs, trial)
+
+
+def subject_union(inputs: list[DataFrame], subject: str) -> DataFrame:
+    """Subjects of any input."""
+    return reduce(lambda a, b: a.union(b), [x.select(F.col(subject).cast("string").alias(subject)) for x in inputs]).distinct()
+
+
+def first_kept(df: DataFrame, keys: Keys, order: str) -> DataFrame:
+    """Each key once, with the place of its first row, in that order's number: settings and paths without repeats."""
+    return df.groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def check_resume(stored: DataFrame, now: DataFrame, keys: Keys, hashes: list[str]) -> DataFrame:
+    """Stored units whose hashes (configuration, input, split) differ from today's: a resumed run must refuse if there are any."""
+    both = stored.select(*keys, *[F.col(h).alias(f"_{h}") for h in hashes]).join(now.select(*keys, *hashes), keys)
+    changed = F.array_compact(F.array(*[F.when(~F.col(h).eqNullSafe(F.col(f"_{h}")), F.lit(h)) for h in hashes]))
+    return both.withColumn("changed", changed).filter(F.size("changed") > 0).select(*keys, F.array_join("changed", ",").alias("changed"))
+
+
+def resume(work: DataFrame, stored: DataFrame, keys: Keys, hashes: list[str]) -> DataFrame:
+    """The units of `work` that are not stored yet; refuses to go on from stored units made under other hashes."""
+    from .validate import InvalidTable
+
+    bad = check_resume(stored, work, keys, hashes).limit(1).collect()
+    if bad:
+        raise InvalidTable(f"stored results were made with another {bad[0]['changed']}")
+    return unfinished(work, stored, keys)

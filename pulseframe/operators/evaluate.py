@@ -71,6 +71,37 @@ def roc_auc(df: DataFrame, keys: Keys, score: str = "score", label: str = "y_tru
     return out.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("roc_auc"))
 
 
+def binary_counts(matrix: DataFrame, keys: Keys) -> DataFrame:
+    """tn, fp, fn, tp of a two-class confusion matrix."""
+    cell = lambda t, p: F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n")).otherwise(0)).cast("long")
+    return matrix.groupBy(*keys).agg(cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
+
+
+def roc_auc_ovr(df: DataFrame, keys: Keys, classes: int, scores: str = "scores", label: str = "y_true") -> DataFrame:
+    """Mean over classes of the area of each class against the rest; null unless every class occurs and all scores are finite."""
+    odd = F.exists(scores, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.col(scores).isNull()
+    bad = df.groupBy(*keys).agg(F.max(odd.cast("int")).alias("_bad"))
+    rows = df.select(*keys, label, F.posexplode(scores).alias("_class", "_score")).filter(F.col("_class") < classes)
+    per = roc_auc(rows.withColumn("_hit", (F.col(label) == F.col("_class")).cast("int")), [*keys, "_class"], "_score", "_hit")
+    out = per.groupBy(*keys).agg(F.avg("roc_auc").alias("_auc"), F.count("roc_auc").alias("_n"))
+    out = out.join(bad, keys) if keys else out.crossJoin(bad)
+    return out.select(*keys, F.when((F.col("_n") == classes) & (F.col("_bad") == 0), F.col("_auc")).alias("roc_auc"))
+
+
+def subject_rows(df: DataFrame, keys: Keys, subject: str, labels: list[int]) -> DataFrame:
+    """Metrics of every subject of every candidate: accuracy, the recall over the classes it has, macro F1 and rows."""
+    per = class_metrics(confusion(df, [*keys, subject], labels), [*keys, subject])
+    main = summary_metrics(per, [*keys, subject]).select(*keys, subject, "rows", "accuracy", "f1_macro")
+    own = per.filter("support > 0").groupBy(*keys, subject).agg(F.avg("recall").alias("recall_of_own"), F.count(F.lit(1)).alias("classes"))
+    return main.join(own, [*keys, subject])
+
+
+def subject_summary(per_subject: DataFrame, keys: Keys, metrics: list[str]) -> DataFrame:
+    """Mean and sample std over subjects of each metric, and the subjects, per candidate."""
+    aggs = [x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))]
+    return per_subject.groupBy(*keys).agg(F.count(F.lit(1)).alias("subjects"), *aggs)
+
+
 def average_precision(df: DataFrame, keys: Keys, score: str = "score", label: str = "y_true") -> DataFrame:
     """Sum of (R_k - R_k-1) * P_k over distinct thresholds, greatest first."""
     per = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
@@ -91,13 +122,19 @@ def regression_metrics(df: DataFrame, keys: Keys) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: Keys, x: str, y: str) -> DataFrame:
-    """rho: correlation of average ranks within each group."""
-    from .windows import ranked
-
-    r = ranked(ranked(df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), keys, "_x", name="rx", kind="average"), keys, "_y", name="ry", kind="average")
-    n = F.count(F.lit(1))
-    flat = (F.stddev_pop("rx") == 0) | (F.stddev_pop("ry") == 0)
-    return r.groupBy(*keys).agg(F.when((n > 1) & ~flat, F.corr("rx", "ry")).alias("spearman_rho"))
+    """rho: correlation of average ranks within each group (null for one row and flat columns). Ranks are those of distinct values and
+    pairs are counted first, so ties cost one row and no task orders a whole group."""
+    from .windows import value_ranks
+
+    pairs = df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    weighted = lambda c, name: value_ranks(df.select(*keys, F.col(c).alias(f"_{name}")), keys, f"_{name}").select(*keys, f"_{name}", F.col("rank_avg").alias(f"_r{name}"))
+    r = pairs.join(weighted(x, "x"), [*keys, "_x"]).join(weighted(y, "y"), [*keys, "_y"])
+    w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    mid = (F.col("_n") + 1) / 2
+    r = (r.join(F.broadcast(n), keys) if keys else r.crossJoin(F.broadcast(n))).select(*keys, "_n", w, (a - mid).alias("a"), (b - mid).alias("b"))
+    sums = r.groupBy(*keys, "_n").agg(F.sum(F.col("_w") * F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("_w") * F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("_w") * F.col("b") * F.col("b")).alias("bb"))
+    return sums.select(*keys, F.when((F.col("_n") > 1) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt("aa") / F.sqrt("bb")).alias("spearman_rho"))
 
 
 def primary_score(df: DataFrame, keys: Keys, subject: str, classes: int) -> DataFrame:

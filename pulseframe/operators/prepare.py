@@ -61,6 +61,22 @@ def hashed_folds(df: DataFrame, subject: str, k: int, seed: str = "folds") -> Da
     return df.select(F.col(subject).cast("string").alias(subject)).distinct().withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
 
 
+def split_plan(df: DataFrame, subject: str, k: int = 3, seed: str = "inner") -> DataFrame:
+    """outer_fold, test_subject, subject, inner_fold: one row per outer fold and training subject. Outer folds are the subjects in
+    natural order; the training subjects of each go round k inner folds in an order hashed with the outer fold. It depends on the
+    subjects alone, so all candidates share it. Rows grow with the square of the subjects, not with the data."""
+    outer = loso_folds(df, subject).withColumnRenamed("fold", "outer_fold")
+    pairs = outer.crossJoin(F.broadcast(outer.select(F.col("test_subject").alias("subject")))).filter("subject != test_subject")
+    w = Window.partitionBy("outer_fold").orderBy(hashed_unit(F.lit(seed), F.col("test_subject"), F.col("subject")), "subject")
+    return pairs.withColumn("inner_fold", F.pmod(F.row_number().over(w) - 1, F.lit(k))).select("outer_fold", "test_subject", "subject", "inner_fold")
+
+
+def plan_fingerprints(plan: DataFrame) -> DataFrame:
+    """outer_fold, fingerprint: the first 12 characters of the SHA-256 of each outer fold's subject and assignment in subject order."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("subject", "inner_fold"))), lambda x: F.concat_ws(":", x["subject"], x["inner_fold"].cast("string")))
+    return plan.groupBy("outer_fold", "test_subject").agg(F.substring(F.sha2(F.concat_ws("|", "test_subject", F.array_join(lines, ",")), 256), 1, 12).alias("fingerprint"))
+
+
 def greedy_folds(spark: SparkSession, df: DataFrame, subject: str, k: int, label: str | None = None) -> DataFrame:
     """subject, fold: largest subjects first to the lightest fold, or with `label` to the fold that keeps class
     shares most even. Falls to fewer folds until every class is in each training and validation part.

@@ -34,6 +34,61 @@ def bootstrap_accuracy(df: DataFrame, keys: Keys, subject: str, repeats: int, se
     )
 
 
+def _percentiles(reps: DataFrame, keys: Keys, metrics: list[str]) -> DataFrame:
+    pct = lambda c, q: F.percentile(c, F.lit(q))
+    return reps.groupBy(*keys).agg(*[x for m in metrics for x in (pct(m, 0.025).alias(f"{m}_low"), pct(m, 0.975).alias(f"{m}_high"))], *[F.count(m).alias(f"{m}_valid") for m in metrics])
+
+
+def bootstrap_classes(df: DataFrame, keys: Keys, subject: str, labels: list[int], repeats: int, seed: str = "bootstrap") -> DataFrame:
+    """low, high and valid draws of accuracy, balanced accuracy, macro F1, Matthews correlation and primary score. Rows are summed to
+    (subject, true, predicted) first; a drawn subject counts as often as it was drawn, and repeated ones stay separate copies in
+    the primary score. Values that are undefined in a draw (a class is missing) are left out of its percentiles."""
+    from .evaluate import class_metrics, summary_metrics
+
+    cells = df.groupBy(*keys, subject, F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+    draws = subject_draws(df, subject, repeats, seed)
+    by = [*keys, "rep"]
+    matrix = cells.join(draws, subject).groupBy(*by, "y_true", "y_pred").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
+    values = F.array(*[F.lit(x) for x in labels])
+    grid = matrix.select(*by).distinct().withColumn("y_true", F.explode(values)).withColumn("y_pred", F.explode(values))
+    full = grid.join(matrix, [*by, "y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    summary = summary_metrics(class_metrics(full, by), by).select(*by, "accuracy", "balanced_accuracy", "f1_macro", "mcc")
+    recall = cells.groupBy(*keys, subject, "y_true").agg((F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("r"))
+    per = recall.join(draws, subject).groupBy(*by, "y_true").agg((F.sum(F.col("r") * F.col("copies")) / F.sum("copies")).alias("r"))
+    primary = per.groupBy(*by).agg(F.avg("r").alias("primary"))
+    return _percentiles(summary.join(primary, by), keys, ["accuracy", "balanced_accuracy", "f1_macro", "mcc", "primary"])
+
+
+def bootstrap_numbers(df: DataFrame, keys: Keys, subject: str, repeats: int, seed: str = "bootstrap") -> DataFrame:
+    """low, high and valid draws of MAE, RMSE, R2, Spearman's rho and primary score (mean of subject MAEs). All but rho come from sums
+    per subject; for rho every distinct (true, predicted) pair of a subject is one row per draw, ranked by its weight."""
+    by = [*keys, "rep"]
+    draws = subject_draws(df, subject, repeats, seed)
+    y, e = F.col("y_true").cast("double"), F.col("y_true") - F.col("y_pred")
+    per = df.groupBy(*keys, subject).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("q"), F.sum(y).alias("s"), F.sum(y * y).alias("s2"))
+    c = F.col("copies")
+    t = per.join(draws, subject).groupBy(*by).agg(
+        F.sum(F.col("n") * c).alias("n"), F.sum(F.col("a") * c).alias("a"), F.sum(F.col("q") * c).alias("q"), F.sum(F.col("s") * c).alias("s"), F.sum(F.col("s2") * c).alias("s2"),
+        (F.sum(F.col("a") / F.col("n") * c) / F.sum(c)).alias("primary"),
+    )
+    spread = F.col("s2") - F.col("s") * F.col("s") / F.col("n")
+    main = t.select(*by, (F.col("a") / F.col("n")).alias("mae"), F.sqrt(F.col("q") / F.col("n")).alias("rmse"), F.when(spread > 1e-9, 1 - F.col("q") / spread).alias("r2"), "primary")
+    pairs = df.groupBy(*keys, subject, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")).join(draws, subject)
+    pairs = pairs.groupBy(*by, "y_true", "y_pred").agg(F.sum(F.col("n") * c).alias("w"))
+
+    def weighted(column: str, name: str) -> DataFrame:
+        one = pairs.groupBy(*by, column).agg(F.sum("w").alias("_w"))
+        before = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        return one.select(*by, column, (F.coalesce(F.sum("_w").over(before), F.lit(0)) + (F.col("_w") + 1) / 2).alias(name))
+
+    r = pairs.join(weighted("y_true", "rx"), [*by, "y_true"]).join(weighted("y_pred", "ry"), [*by, "y_pred"])
+    w, x, z = F.col("w"), F.col("rx"), F.col("ry")
+    m = r.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * z).alias("z"), F.sum(w * x * x).alias("xx"), F.sum(w * z * z).alias("zz"), F.sum(w * x * z).alias("xz"))
+    vx, vz = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("zz") - F.col("z") * F.col("z") / F.col("n")
+    rho = m.select(*by, F.when((vx > 1e-9) & (vz > 1e-9), (F.col("xz") - F.col("x") * F.col("z") / F.col("n")) / F.sqrt(vx) / F.sqrt(vz)).alias("spearman_rho"))
+    return _percentiles(main.join(rho, by), keys, ["mae", "rmse", "r2", "spearman_rho", "primary"])
+
+
 def comparison_families(candidates: DataFrame) -> DataFrame:
     """comparison, family, candidate_order: groups of two or more candidates that differ in one thing: model,
     representation, input or input mode."""
@@ -105,4 +160,8 @@ def paired_tests(predictions: DataFrame, candidates: DataFrame, subject: str, ro
         one = sign_flip_test(contributions(good, key, subject, metric), key, subject, repeats)
         one = status.join(one, key, "left").withColumn("metric", F.lit(metric))
         out = one if out is None else out.unionByName(one)
-    return holm(out, ["comparison", "family", "metric"]).withColumn("significant", F.col("p_holm") < 0.05)
+    out = holm(out, ["comparison", "family", "metric"]).withColumn("significant", F.col("p_holm") < 0.05)
+    # Without any comparison the table says so in one row.
+    none = predictions.sparkSession.range(1).join(out.select(F.lit(0).cast("long").alias("id")).limit(1), "id", "left_anti")
+    none = none.select(*[F.lit("not_applicable").alias(c) if c == "status" else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns])
+    return out.unionByName(none)

@@ -59,8 +59,14 @@ def stability(choices: DataFrame, keys: Keys, parameters: str, fold: str) -> Dat
     return out.select(*keys, F.col(f"best.{parameters}").alias(parameters), F.col("best.n").alias("n"), (F.col("best.n") / F.col("folds")).alias("share"), "sets")
 
 
+def fit_totals(fits: DataFrame, keys: Keys, seconds: str = "seconds") -> DataFrame:
+    """Fits, seconds in all, mean and longest of every candidate."""
+    return fits.groupBy(*keys).agg(F.count(F.lit(1)).alias("fits"), F.sum(seconds).alias("total_s"), F.avg(seconds).alias("mean_s"), F.max(seconds).alias("longest_s"))
+
+
 def tree_digest(files: DataFrame, path: str = "path", sha: str = "sha") -> DataFrame:
-    """SHA-256 over `sha  path` lines in path order: one row. The list is that of one store's source files."""
+    """SHA-256 over `sha  path` lines in path order: one row. The digest is defined over the whole list, that of one store's source
+    files (some hundred bytes each), so one task joins it."""
     lines = F.transform(F.sort_array(F.collect_list(F.struct(path, sha))), lambda x: F.concat(x[sha], F.lit("  "), x[path], F.lit("\n")))
     return files.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(lines, ""), 256).alias("digest"))
 

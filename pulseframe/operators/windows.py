@@ -94,7 +94,8 @@ def events_in_windows(windows: DataFrame, found: DataFrame, keys: Keys, amplitud
 
 
 def ranked(df: DataFrame, keys: Keys, *order, name: str = "rank", kind: str = "min") -> DataFrame:
-    """Rank within group: `min` (gaps), `ordinal` (unique), `average` (ties share the mean of their places)."""
+    """Rank within group: `min` (gaps), `ordinal` (unique), `average` (ties share the mean of their places). A group is ordered in one
+    task; `value_ranks` is for groups of any size."""
     w = Window.partitionBy(*keys).orderBy(*order)
     if kind == "ordinal":
         return df.withColumn(name, F.row_number().over(w))
@@ -104,6 +105,24 @@ def ranked(df: DataFrame, keys: Keys, *order, name: str = "rank", kind: str = "m
     return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
+def value_ranks(df: DataFrame, keys: Keys, value: str, parts: int = 64) -> DataFrame:
+    """keys, value, rank_min, rank_avg, n of every distinct value of each group, so hot values cost one row. The values of a group are cut at
+    approximate quantiles into `parts` ranges; counts are summed within a range and over the ranges before, so no
+    task orders a whole group."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    at = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
+    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.approx_percentile(F.col(value).cast("double"), at, F.lit(1000))).alias("_cuts"))
+    counts = counts.join(F.broadcast(cuts), keys) if keys else counts.crossJoin(F.broadcast(cuts))
+    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))).drop("_cuts")
+    sizes = counts.groupBy(*keys, "_part").agg(F.sum("n").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = counts.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sizes, [*keys, "_part"])
+    first = F.col("_before") + F.col("_in")
+    return out.select(*keys, value, "n", (first + 1).alias("rank_min"), (first + (F.col("n") + 1) / 2).alias("rank_avg"))
+
+
 def holm(df: DataFrame, keys: Keys, p: str = "p") -> DataFrame:
     """Adds p_holm: step-down corrected p within each family, running maximum of min(1, p * (m - rank)); null
     p stay out of the count and null."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import align, evaluate, models, prepare, reports, resampling, series, trials, validate, windows
+from ..operators import align, evaluate, kernels, models, prepare, reports, resampling, series, trials, validate, windows
 from . import views as v
 from .register import query
 
@@ -16,9 +16,11 @@ f6 = lambda *cols: [F.round(c, 6).alias(c) for c in cols]
 # --- validation and selection
 
 
-@query("numeric_issues", """SELECT 'l_returnflag' AS "column", count(*) AS not_numeric, CAST(0 AS BIGINT) AS infinite FROM lineitem UNION ALL SELECT 'l_quantity', 0, 0""")
+@query("numeric_issues", """SELECT 'l_returnflag' AS "column", count(*) FILTER (WHERE l_returnflag IS NOT NULL AND try_cast(l_returnflag AS DOUBLE) IS NULL) AS not_numeric, count(*) FILTER (WHERE isinf(try_cast(l_returnflag AS DOUBLE))) AS infinite FROM lineitem
+UNION ALL SELECT 'l_quantity', count(*) FILTER (WHERE q IS NOT NULL AND try_cast(q AS DOUBLE) IS NULL), count(*) FILTER (WHERE isinf(try_cast(q AS DOUBLE))) FROM (SELECT CASE WHEN l_partkey % 9 = 0 THEN 'Infinity' WHEN l_partkey % 9 = 1 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS q FROM lineitem)""")
 def numeric_issues(s, d):
-    return validate.numeric_issues(v.read(s, d, "lineitem"), ["l_returnflag", "l_quantity"])
+    text = F.when(F.col("l_partkey") % 9 == 0, "Infinity").when(F.col("l_partkey") % 9 == 1, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    return validate.numeric_issues(v.read(s, d, "lineitem").withColumn("l_quantity", text), ["l_returnflag", "l_quantity"])
 
 
 @query("out_of_range", f"""WITH {v.SQL_FEATURES} SELECT trial, window_id, rating FROM features WHERE rating NOT BETWEEN 2 AND 8""")
@@ -37,7 +39,7 @@ def select_named(s, d):
     return validate.select_named(v.read(s, d, "events"), "event_type", "view, CLICK,error", "purchase").filter("event_type != 'error'").select("event_id", "event_type")
 
 
-@query("unknown_names", "SELECT 'SLEEP' AS name")
+@query("unknown_names", "SELECT name FROM (SELECT unnest(['VIEW', 'SLEEP']) AS name) WHERE name NOT IN (SELECT DISTINCT upper(event_type) FROM events)")
 def unknown_names(s, d):
     return validate.unknown_names(v.read(s, d, "events"), "event_type", "view,sleep")
 
@@ -58,7 +60,7 @@ def label_conflicts(s, d):
     return validate.label_conflicts(v.read(s, d, "lineitem"), ["l_orderkey"], "l_returnflag")
 
 
-@query("zero_variance", """SELECT 'flat' AS "column", CAST(0 AS DOUBLE) AS std""")
+@query("zero_variance", f"""WITH {v.SQL_FEATURES} SELECT * FROM (SELECT 'hc_qty' AS "column", stddev_pop(hc_qty) AS std FROM features UNION ALL SELECT 'hc_price', stddev_pop(hc_price) FROM features UNION ALL SELECT 'flat', stddev_pop(3.0::DOUBLE) FROM features) WHERE std = 0""")
 def zero_variance(s, d):
     return validate.zero_variance(v.features(s, d).withColumn("flat", F.lit(3.0)), [*v.FEATURES, "flat"])
 
@@ -102,7 +104,8 @@ def score_vectors(s, d):
 # --- joins and sets
 
 
-@query("paired_predictions", f"""WITH {v.SQL_PREDICTIONS}, a AS (SELECT * FROM pred WHERE candidate_order = 0 AND trial % 10 <> 3), b AS (SELECT *, CASE WHEN trial % 10 = 4 THEN y_true + 1 ELSE y_true END AS yt FROM pred WHERE candidate_order = 1 AND trial % 10 <> 5)
+@query("paired_predictions", f"""WITH {v.SQL_FEATURES}, t AS MATERIALIZED (SELECT trial, window_id, CASE WHEN rating <= 3 THEN 0 WHEN rating <= 6 THEN 1 ELSE 2 END AS y_true FROM features),
+a AS (SELECT trial, window_id, y_true FROM t WHERE trial % 10 <> 3), b AS (SELECT trial, window_id, CASE WHEN trial % 10 = 4 THEN y_true + 1 ELSE y_true END AS yt FROM t WHERE trial % 10 <> 5)
 SELECT coalesce(a.trial, b.trial) AS trial, coalesce(a.window_id, b.window_id) AS window_id, CASE WHEN a.trial IS NULL OR b.trial IS NULL THEN 'incompatible_sample_sets' WHEN a.y_true <> b.yt THEN 'incompatible_true_labels' ELSE 'ok' END AS status
 FROM a FULL JOIN b ON a.trial = b.trial AND a.window_id = b.window_id""")
 def paired_predictions(s, d):
@@ -296,11 +299,11 @@ def loso_folds(s, d):
     return prepare.loso_folds(v.features(s, d), "subject").select("fold", "test_subject")
 
 
-@query("fold_rows", f"""WITH {v.SQL_FEATURES}, t AS (SELECT DISTINCT subject, trial FROM features), f AS (SELECT CAST(subject AS BIGINT) AS fold, subject AS test_subject FROM (SELECT DISTINCT subject FROM features) WHERE CAST(subject AS BIGINT) < 4)
-SELECT fold, t.subject = test_subject AS is_test, count(*) AS n FROM t, f GROUP BY ALL""")
+@query("fold_rows", f"""WITH {v.SQL_FEATURES}, t AS (SELECT DISTINCT subject, trial FROM features), f AS (SELECT row_number() OVER (ORDER BY CAST(subject AS BIGINT)) - 1 AS fold, subject AS test_subject FROM (SELECT DISTINCT subject FROM features)), c AS (SELECT subject, count(*) AS n FROM t GROUP BY 1)
+SELECT fold, c.subject = test_subject AS is_test, CAST(sum(n) AS BIGINT) AS n FROM c, f GROUP BY ALL""")
 def fold_rows(s, d):
     t = v.features(s, d).select(*TRIAL).distinct()
-    rows = prepare.fold_rows(t, prepare.loso_folds(t, "subject", 4), "subject")
+    rows = prepare.fold_rows(t, prepare.loso_folds(t, "subject"), "subject")
     return rows.groupBy(F.col("fold").cast("long").alias("fold"), "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -309,6 +312,14 @@ def hashed_folds(s, d):
     return prepare.hashed_folds(v.features(s, d), "subject", 5)
 
 
+@query("split_plan", f"""WITH {v.SQL_FEATURES}, s AS (SELECT row_number() OVER (ORDER BY CAST(subject AS BIGINT)) - 1 AS o, subject FROM (SELECT DISTINCT subject FROM features)),
+p AS (SELECT a.o AS outer_fold, a.subject AS test_subject, b.subject, (row_number() OVER (PARTITION BY a.o ORDER BY CAST('0x' || substr(sha256('inner|' || a.subject || '|' || b.subject), 1, 8) AS BIGINT), b.subject) - 1) % 3 AS inner_fold FROM s a JOIN s b ON a.subject <> b.subject)
+SELECT outer_fold, test_subject, substr(sha256(test_subject || '|' || string_agg(subject || ':' || inner_fold, ',' ORDER BY subject)), 1, 12) AS fingerprint FROM p GROUP BY outer_fold, test_subject""")
+def split_plan(s, d):
+    plan = prepare.plan_fingerprints(prepare.split_plan(v.features(s, d), "subject"))
+    return plan.select(F.col("outer_fold").cast("long").alias("outer_fold"), "test_subject", "fingerprint")
+
+
 @query("greedy_folds")
 def greedy_folds(s, d):
     """Stratified subject folds; the tests check that they keep subjects whole and classes complete."""
@@ -329,26 +340,27 @@ def sensor_nodes(s, d):
     return n.select("trial", "window_id", F.col("nodes")[0][0].alias("bvp_mean"), F.col("nodes")[1][1].alias("eda_edges"), F.col("nodes")[0][2].alias("bvp_there"), F.col("nodes")[2][3].alias("temp_there"))
 
 
-SQL_KNN = """e AS (SELECT vec_id, embedding AS x, CAST(label AS DOUBLE) AS y FROM embeddings), pr AS (SELECT t.vec_id AS test_id, r.vec_id AS train_id, r.y, sqrt(list_sum(list_transform(list_zip(t.x, r.x), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))) AS distance
-FROM e t, e r WHERE t.vec_id % 10 = 0 AND r.vec_id % 10 <> 0), nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY distance, train_id) AS rank FROM pr) WHERE rank <= 5)"""
+SQL_KNN = """e AS (SELECT vec_id, embedding AS x, CAST(label AS DOUBLE) AS y, vec_id % 10 AS subject FROM embeddings), pr AS (SELECT t.vec_id AS test_id, r.vec_id AS train_id, r.y, t.subject = r.subject AS own,
+sqrt(list_sum(list_transform(list_zip(t.x, r.x), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))) AS distance FROM e t, e r WHERE t.vec_id % 50 = 0)"""
 
 
 def _vectors(s, d):
-    e = v.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"))
-    return e.filter("id % 10 != 0"), e.filter("id % 10 = 0")
+    e = v.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 10).alias("subject"))
+    return e, e.filter("id % 50 = 0")
 
 
-@query("nearest_neighbours", f"""WITH {SQL_KNN} SELECT test_id, train_id, round(distance, 5) AS distance, rank FROM nb""")
+@query("nearest_neighbours", f"""WITH {SQL_KNN} SELECT test_id, train_id, round(distance, 5) AS distance, row_number() OVER (PARTITION BY test_id ORDER BY distance, train_id) AS rank FROM pr QUALIFY rank <= 5""")
 def nearest_neighbours(s, d):
-    """One subject (a tenth of the vectors) against the nine others: a leave-one-subject-out fold."""
+    """The query set, every vector whose id 50 divides, against all vectors."""
     n = models.nearest(*_vectors(s, d), 5)
     return n.select("test_id", "train_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("neighbour_votes", f"""WITH {SQL_KNN}, vt AS (SELECT test_id, y, round(sum(1 / distance), 9) AS votes FROM nb GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY votes DESC, y) AS n FROM vt), m AS (SELECT test_id, avg(y) AS m FROM nb GROUP BY 1)
-SELECT test_id, y AS y_pred, round(m, 6) AS y_mean FROM b JOIN m USING (test_id) WHERE n = 1""")
+@query("neighbour_votes", f"""WITH {SQL_KNN}, nb AS (SELECT * FROM pr WHERE NOT own QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY distance, train_id) <= 5), vt AS (SELECT test_id, y, round(sum(1 / distance), 9) AS votes FROM nb GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY votes DESC, y) AS n FROM vt), m AS (SELECT test_id, avg(y) AS m FROM nb GROUP BY 1) SELECT test_id, y AS y_pred, round(m, 6) AS y_mean FROM b JOIN m USING (test_id) WHERE n = 1""")
 def neighbour_votes(s, d):
-    n = models.nearest(*_vectors(s, d), 5)
+    """The query set against all vectors of other subjects, as in leave-one-subject-out folds."""
+    n = models.nearest(*_vectors(s, d), 5, apart="subject")
     mean = models.neighbour_vote(n, "uniform", True).withColumnRenamed("y_pred", "y_mean")
     return models.neighbour_vote(n, "distance").join(mean, "test_id").select("test_id", "y_pred", F.round("y_mean", 6).alias("y_mean"))
 
@@ -368,26 +380,62 @@ def _trial_rows(s, d):
     return t.withColumns({"y": fn.encode_target(F.col("rating"), "binary").cast("double"), "id": F.col("trial")}).filter("y is not null"), [f"{f}__{k}" for f in v.FEATURES for k in ("mean", "std")]
 
 
+def _out_of_fold(s, d, name, folds=2, **p):
+    """Predictions of all trials, each by a model that was fitted without its subject, over hashed subject folds."""
+    t, cols = _trial_rows(s, d)
+    t = t.join(F.broadcast(prepare.hashed_folds(t, "subject", folds)), "subject").persist()
+    parts = [models.fit_predict(t.filter(F.col("fold") != f), t.filter(F.col("fold") == f), cols, name, 2, **p) for f in range(folds)]
+    return align.append(*parts).select("subject", "trial", "fold", "y", "y_pred", F.col("scores")[1].alias("score"))
+
+
 @query("forest_fold")
 def forest_fold(s, d):
-    """One leave-one-subject-out fold of the forest on all trials: trial, y_pred and scores of subject 7."""
-    t, cols = _trial_rows(s, d)
-    out = models.fit_predict(t.filter("subject != '7'"), t.filter("subject = '7'"), cols, "rf", 2, trees=20, max_depth=6)
-    return out.select("subject", "trial", "y", "y_pred", F.col("scores")[1].alias("score"))
+    """The forest's out-of-fold predictions of all trials; 60 trees of depth 10 stand for the grid's 300 of depth 12 or 30."""
+    return _out_of_fold(s, d, "rf", trees=60, max_depth=10)
+
+
+@query("boosted_trees")
+def boosted_trees(s, d):
+    """Boosted trees, likewise; 20 rounds at depth 3 stand for the grid's 250 and 450."""
+    return _out_of_fold(s, d, "boost", rounds=20, depth=3, rate=0.08)
+
+
+@query("perceptron")
+def perceptron(s, d):
+    """The multilayer perceptron with repeated rows of the smaller class, likewise."""
+    return _out_of_fold(s, d, "mlp", rounds=40, hidden=(16,))
+
+
+@query("rbf_machine")
+def rbf_machine(s, d):
+    """The hinge-loss machine on Fourier features, likewise."""
+    return _out_of_fold(s, d, "svm", rounds=10, cost=1.0, gamma="scale", directions=32)
+
+
+def _nested(s, d):
+    """Predictions and inner scores of both candidates."""
+    rows = v.features(s, d).withColumn("y", fn.encode_target(F.col("rating"), "binary")).filter("y is not null")
+    plan = prepare.split_plan(rows, "subject")
+    grid = models.grid("svm")
+    found, scores = [], []
+    for order, features in enumerate((["hc_qty", "hc_price"], v.FEATURES)):
+        one, inner = kernels.nested_rbf(kernels.trial_vectors(rows, TRIAL, features, "y"), plan, grid, 2)
+        found.append(one.withColumn("candidate_order", F.lit(order)))
+        scores.append(inner.withColumn("candidate_order", F.lit(order)))
+    return align.append(*found), align.append(*scores)
 
 
 @query("nested_selection")
 def nested_selection(s, d):
-    """Nested selection of two neighbour settings for the first two subjects over all trials: predictions."""
-    t, cols = _trial_rows(s, d)
+    """All leave-one-subject-out folds of two candidates (two representations) over all windows, each with the parameters that its
+    inner folds choose, rolled up to trials; the tests hold it against plain loops."""
+    return _nested(s, d)[0].select("candidate_order", "outer_fold", "parameter_index", "subject", "trial", "y_true", "y_pred", "source_sample_count", F.round(F.col("scores")[0], 6).alias("score"))
 
-    def utility(p):
-        per = p.groupBy("subject", "y").agg(F.avg((F.col("y") == F.col("y_pred")).cast("double")).alias("r"))
-        return per.agg(F.avg("r").alias("utility"))
 
-    outer = prepare.loso_folds(t, "subject", 2)
-    found, _ = models.nested_selection(t, cols, "svm", 2, outer, lambda x: prepare.hashed_folds(x, "subject", 2), utility, [{"cost": 1.0, "rounds": 5}, {"cost": 10.0, "rounds": 5}])
-    return found.select("outer_fold", "parameter_index", "subject", "trial", "y", "y_pred")
+@query("inner_scores")
+def inner_scores(s, d):
+    """Utility of every parameter set of both candidates in every outer fold, and which was chosen."""
+    return _nested(s, d)[1].select("candidate_order", "outer_fold", "parameter_index", "utility", "chosen")
 
 
 # --- evaluation
@@ -496,7 +544,7 @@ def comparison_families(s, d):
     return resampling.comparison_families(_candidates(s, d))
 
 
-@query("test_count", "SELECT CAST(8 AS BIGINT) AS tests")
+@query("test_count", f"""WITH {v.SQL_PREDICTIONS}, c AS (SELECT DISTINCT candidate_order AS o FROM pred), f AS (SELECT 'models' || o % 2 AS f, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'modes' || o // 2, count(*) FROM c GROUP BY 1) SELECT CAST(sum(n * (n - 1) / 2 * 2) AS BIGINT) AS tests FROM f""")
 def test_count(s, d):
     return resampling.test_count(resampling.comparison_families(_candidates(s, d)), 2)
 
@@ -522,12 +570,6 @@ def sign_flip_test(s, d):
     return resampling.sign_flip_test(_contributions(s, d), ["pair"], "subject", 300).select(*f6("observed", "p"))
 
 
-@query("paired_tests")
-def paired_tests(s, d):
-    """All paired comparisons of the four candidates with corrected p."""
-    return resampling.paired_tests(_rolled(s, d).select("candidate_order", "subject", "trial", "y_true", "y_pred"), _candidates(s, d), "subject", ["trial"], 3, 200)
-
-
 # --- importance
 
 
@@ -539,18 +581,18 @@ def _minus_error(df, keys):
     return df.groupBy(*keys).agg((-F.avg(F.abs(F.col("rating") - F.col("y_pred")))).alias("score"))
 
 
-SQL_PERMUTED = v.SQL_FEATURES + """, rows AS (SELECT CAST(trial AS VARCHAR) || '|' || CAST(window_id AS VARCHAR) AS id, * FROM features WHERE subject = '7'), fe AS (SELECT unnest(['hc_price', 'nvg_disc']) AS feature), re AS (SELECT unnest([0, 1]) AS "repeat"),
-wd AS (SELECT *, CASE WHEN feature = 'hc_price' THEN hc_price ELSE nvg_disc END AS val, row_number() OVER (PARTITION BY feature, "repeat" ORDER BY id) AS own, row_number() OVER (PARTITION BY feature, "repeat" ORDER BY CAST('0x' || substr(sha256('permute|' || feature || '|' || "repeat" || '|' || id), 1, 8) AS BIGINT), id) AS lend FROM rows, fe, re),
-pm AS (SELECT a.feature, a."repeat", a.rating, CASE WHEN a.feature = 'hc_price' THEN b.val ELSE a.hc_price END / 20000 + CASE WHEN a.feature = 'nvg_disc' THEN b.val ELSE a.nvg_disc END * 10 AS y_pred FROM wd a JOIN wd b ON a.feature = b.feature AND a."repeat" = b."repeat" AND a.own = b.lend),
-sc AS (SELECT feature, "repeat", -avg(abs(rating - y_pred)) AS score FROM pm GROUP BY ALL), ba AS (SELECT -avg(abs(rating - (hc_price / 20000 + nvg_disc * 10))) AS base FROM rows)"""
+SQL_PERMUTED = v.SQL_FEATURES + """, rows AS (SELECT CAST(trial AS VARCHAR) || '|' || CAST(window_id AS VARCHAR) AS id, * FROM features), fe AS (SELECT unnest(['hc_price', 'nvg_disc']) AS feature), re AS (SELECT unnest([0, 1]) AS "repeat"),
+wd AS (SELECT *, CASE WHEN feature = 'hc_price' THEN hc_price ELSE nvg_disc END AS val, row_number() OVER (PARTITION BY subject, feature, "repeat" ORDER BY id) AS own, row_number() OVER (PARTITION BY subject, feature, "repeat" ORDER BY CAST('0x' || substr(sha256('permute|' || feature || '|' || "repeat" || '|' || id), 1, 8) AS BIGINT), id) AS lend FROM rows, fe, re),
+pm AS (SELECT a.subject, a.feature, a."repeat", a.rating, CASE WHEN a.feature = 'hc_price' THEN b.val ELSE a.hc_price END / 20000 + CASE WHEN a.feature = 'nvg_disc' THEN b.val ELSE a.nvg_disc END * 10 AS y_pred FROM wd a JOIN wd b ON a.subject = b.subject AND a.feature = b.feature AND a."repeat" = b."repeat" AND a.own = b.lend),
+sc AS (SELECT subject, feature, "repeat", -avg(abs(rating - y_pred)) AS score FROM pm GROUP BY ALL), ba AS (SELECT subject, -avg(abs(rating - (hc_price / 20000 + nvg_disc * 10))) AS base FROM rows GROUP BY 1)"""
 
 
-@query("permutation_importance", f"""WITH {SQL_PERMUTED} SELECT feature, round(avg(base - score), 6) AS importance_mean, round(stddev_pop(base - score), 6) AS importance_std FROM sc, ba GROUP BY 1""")
+@query("permutation_importance", f"""WITH {SQL_PERMUTED} SELECT subject, feature, round(avg(base - score), 6) AS importance_mean, round(stddev_pop(base - score), 6) AS importance_std FROM sc JOIN ba USING (subject) GROUP BY ALL""")
 def permutation_importance(s, d):
-    """On the held-out fold of subject 7, with a fixed linear scorer."""
-    f = v.features(s, d).filter("subject = '7'").withColumn("id", F.concat_ws("|", "trial", "window_id"))
-    p = reports.permutation_importance(f, "id", ["hc_price", "nvg_disc"], 2, _linear, _minus_error)
-    return p.select("feature", *f6("importance_mean", "importance_std"))
+    """On the held-out fold of every subject, with a fixed linear scorer."""
+    f = v.features(s, d).withColumn("id", F.concat_ws("|", "trial", "window_id"))
+    p = reports.permutation_importance(f, "id", ["hc_price", "nvg_disc"], 2, _linear, _minus_error, ["subject"])
+    return p.select("subject", "feature", *f6("importance_mean", "importance_std"))
 
 
 @query("importance_summary", """WITH x AS (SELECT event_type AS feature, user_id % 9 AS outer_fold, value FROM events), a AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s, count(DISTINCT outer_fold) AS folds FROM x GROUP BY 1) SELECT feature, round(m, 6) AS mean, round(s, 6) AS std, folds, rank() OVER (ORDER BY m DESC) AS rank FROM a""")
@@ -566,12 +608,30 @@ def attribution_ranks(s, d):
     return reports.attribution_ranks(e, ["fold"]).select("fold", "feature", *f6("mean_abs", "mean"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("shapley_values")
-def shapley_values(s, d):
-    """Sampled attributions of the linear scorer on subject 7; the tests check that they add up."""
+SQL_SHAPLEY = v.SQL_FEATURES + """, rows AS (SELECT CAST(trial AS VARCHAR) || '|' || CAST(window_id AS VARCHAR) AS id, * FROM features), dr AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(sha256('background|' || id), 1, 8) AS BIGINT), id) AS k FROM rows QUALIFY k <= 2000),
+bk AS (SELECT f.subject AS fold, b.hc_price, b.nvg_disc, row_number() OVER (PARTITION BY f.subject ORDER BY b.k) - 1 AS b FROM (SELECT DISTINCT subject FROM rows) f JOIN dr b ON b.subject <> f.subject QUALIFY row_number() OVER (PARTITION BY f.subject ORDER BY b.k) <= 100),
+sh AS (SELECT r.subject, r.id, r.hc_price AS p, r.nvg_disc AS q, k.hc_price AS bp, k.nvg_disc AS bq FROM rows r, (SELECT unnest([0, 1, 2]) AS round) n, bk k WHERE k.fold = r.subject AND k.b = CAST('0x' || substr(sha256('shapley|' || r.id || '|' || round), 1, 8) AS BIGINT) % 100),
+sv AS (SELECT subject, id, avg((p - bp) / 20000) AS hc_price, avg((q - bq) * 10) AS nvg_disc, 0.0::DOUBLE AS hc_qty FROM sh GROUP BY ALL)"""
+
+
+def _shapley(s, d):
     f = v.features(s, d).withColumn("id", F.concat_ws("|", "trial", "window_id"))
-    back = f.filter("subject = '8'").orderBy("trial", "window_id").limit(100)
-    return reports.shapley_values(f.filter("subject = '7'"), "id", ["hc_price", "nvg_disc", "hc_qty"], back, _linear, 3)
+    back = reports.background_rows(f, "id", "subject", ["hc_price", "nvg_disc", "hc_qty"])
+    return reports.shapley_values(f, "id", ["hc_price", "nvg_disc", "hc_qty"], back, _linear, 3, fold="subject")
+
+
+@query("shapley_values", f"""WITH {SQL_SHAPLEY} SELECT id, feature, round(value, 5) AS value FROM (UNPIVOT (SELECT id, hc_price, nvg_disc, hc_qty FROM sv) ON hc_price, nvg_disc, hc_qty INTO NAME feature VALUE value)""")
+def shapley_values(s, d):
+    """Sampled attributions of the linear scorer for all rows; each subject's background is 100 rows of other subjects."""
+    return _shapley(s, d).select("id", "feature", F.round("value", 5).alias("value"))
+
+
+@query("attribution_summary", f"""WITH {SQL_SHAPLEY}, u AS (SELECT subject, feature, avg(abs(value)) AS a, avg(value) AS m FROM (UNPIVOT sv ON hc_price, nvg_disc, hc_qty INTO NAME feature VALUE value) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY a DESC, feature) AS k FROM u),
+t AS (SELECT feature, avg(a) AS mean_abs, avg(m) AS mean, avg(k) AS mean_rank, count(DISTINCT subject) AS folds FROM r GROUP BY 1) SELECT feature, round(mean_abs, 5) AS mean_abs, round(mean, 5) AS mean, round(mean_rank, 5) AS mean_rank, folds, row_number() OVER (ORDER BY mean_abs DESC, feature) AS rank FROM t""")
+def attribution_summary(s, d):
+    per = _shapley(s, d)
+    out = reports.attribution_summary(per, "subject")
+    return out.select("feature", F.round("mean_abs", 5).alias("mean_abs"), F.round("mean", 5).alias("mean"), F.round("mean_rank", 5).alias("mean_rank"), "folds", F.col("rank").cast("long").alias("rank"))
 
 
 @query("family_share", """WITH p AS (SELECT user_id, CASE WHEN event_type IN ('view', 'click') THEN 'hc' ELSE 'nvg' END AS family, sum(value) AS total FROM events GROUP BY ALL), s AS (SELECT *, total / sum(total) OVER (PARTITION BY user_id) AS share FROM p)
@@ -579,13 +639,3 @@ SELECT family, round(avg(share), 6) AS share_mean, round(stddev_samp(share), 6)
 def family_share(s, d):
     e = v.read(s, d, "events").select("user_id", F.concat(F.when(F.col("event_type").isin("view", "click"), "hc_").otherwise("nvg_"), "event_type").alias("feature"), F.col("value").alias("mean_abs"))
     return reports.family_share(e, "user_id").select("family", *f6("share_mean", "share_std", "share_median"))
-
-
-@query("candidate_summary")
-def candidate_summary(s, d):
-    """Metrics, intervals and parameter stability of each candidate, ranked by accuracy."""
-    p = _rolled(s, d)
-    key = ["candidate_order"]
-    m = evaluate.summary_metrics(evaluate.class_metrics(evaluate.confusion(p, key, [0, 1, 2]), key), key)
-    st = trials.stability(p.select("candidate_order", F.col("y_pred").cast("string").alias("parameters"), "trial"), key, "parameters", "trial")
-    return reports.candidate_summary(m, resampling.bootstrap_accuracy(p, key, "subject", 100), st, key, "accuracy")

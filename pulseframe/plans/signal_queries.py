@@ -8,7 +8,7 @@ from ..functions import scalars as fn
 from ..operators import series, trials, validate, visibility, windows
 from ..sources import recordings
 from . import views as v
-from .register import query
+from .register import SQL, query
 
 
 
@@ -21,10 +21,14 @@ def _gappy(s, d):
 SQL_GAPPY = v.SQL_SAMPLES + ", gappy AS (SELECT *, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS g FROM samples)"
 
 
-@query("scan_json_signals", """SELECT event_id, 'k' AS signal, 0 AS pos, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+@query("scan_json_signals", """SELECT event_id, 'k' AS signal, i AS pos, CASE WHEN i = 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) ELSE value END AS value FROM events, (SELECT unnest([0, 1]) AS i) WHERE json_extract_string(props, '$.k') IS NOT NULL""")
 def scan_json_signals(s, d):
-    e = v.read(s, d, "events").select("event_id", F.from_json("props", "map<string,double>").alias("m"))
-    return e.select("event_id", F.explode("m").alias("signal", "value")).filter("value is not null").select("event_id", "signal", F.lit(0).alias("pos"), "value")
+    """Objects signal -> list of [time, value] rows, made of each event's properties: two rows, the property and the event's value."""
+    e = v.read(s, d, "events").select("event_id", "value", F.from_json("props", "map<string,double>").alias("m"))
+    stamp = F.lit("2020-01-01T10:00:00:000000")
+    text = F.to_json(F.transform_values("m", lambda k, x: F.array(F.array(stamp, x.cast("string")), F.array(stamp, F.col("value").cast("string")))))
+    rows = recordings.explode_signals(e.filter("m.k is not null").select("event_id", text.alias("text")), "text", ["event_id"])
+    return rows.filter("signal = 'k'").select("event_id", "signal", "pos", fn.no_nan(F.element_at("row", 2).try_cast("double")).alias("value"))
 
 
 @query("scan_questionnaires", """SELECT o_orderkey AS id, 'M' || (o_orderkey % 3) AS condition, CAST(o_orderkey % 3 + 1 AS BIGINT) AS movie_order_index, CAST(o_custkey % 11 AS INTEGER) AS sam_valence,
@@ -197,7 +201,7 @@ def responses_in_windows(s, d):
     return out.select("subject", "window_id", F.col("scr_count").cast("long").alias("scr_count"), F.round("scr_amplitude", 6).alias("scr_amplitude"))
 
 
-SQL_RESAMPLED = v.SQL_SAMPLES + """, bounds AS (SELECT subject, signal, min(t) AS lo, max(t) AS hi FROM samples WHERE signal = 'view' GROUP BY ALL),
+SQL_RESAMPLED = v.SQL_SAMPLES + """, bounds AS (SELECT subject, signal, min(t) AS lo, max(t) AS hi FROM samples GROUP BY ALL),
 m AS (SELECT subject, signal, coalesce(least(11, CAST(floor((t - lo) / nullif(hi - lo, 0) * 12) AS BIGINT)), 0) AS k, avg(value) AS m FROM samples JOIN bounds USING (subject, signal) GROUP BY ALL),
 grid AS (SELECT subject, signal, unnest(range(0, 12)) AS k FROM bounds), g AS (SELECT subject, signal, k, m FROM grid LEFT JOIN m USING (subject, signal, k)),
 mk AS (SELECT *, last_value(m IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN m IS NOT NULL THEN k END IGNORE NULLS) OVER b AS p0, first_value(m IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN m IS NOT NULL THEN k END IGNORE NULLS) OVER f AS p1 FROM g
@@ -206,9 +210,9 @@ fl AS (SELECT subject, signal, k, coalesce(m, CASE WHEN p1 > p0 THEN v0 + (v1 -
 
 
 @query("resample", f"""WITH {SQL_RESAMPLED}, z AS (SELECT *, stddev_pop(f) OVER w AS sd, avg(f) OVER w AS mu FROM fl WINDOW w AS (PARTITION BY subject, signal))
-SELECT subject, CAST(k AS INTEGER) AS k, round(CASE WHEN sd > 1e-12 THEN (f - mu) / sd ELSE f - mu END, 6) AS z FROM z""")
+SELECT subject, signal, CAST(k AS INTEGER) AS k, round(CASE WHEN sd > 1e-12 THEN (f - mu) / sd ELSE f - mu END, 6) AS z FROM z""")
 def resample(s, d):
-    return series.resample(v.samples(s, d).filter("signal = 'view'"), ["subject", "signal"], 12).select("subject", "k", F.round("z", 6).alias("z"))
+    return series.resample(v.samples(s, d), ["subject", "signal"], 12).select("subject", "signal", "k", F.round("z", 6).alias("z"))
 
 
 SQL_PAIRS = v.SQL_SERIES + """, pairs AS (SELECT a.subject, a.pos AS i, b.pos AS j, a.value AS yi, b.value AS yj, (b.value - a.value) / (b.pos - a.pos) AS s FROM series a JOIN series b ON a.subject = b.subject AND a.pos < b.pos),
@@ -253,8 +257,9 @@ def path_metrics(s, d):
 
 @query("graph_features_wide")
 def graph_features_wide(s, d):
-    """Both graphs of the three resampled signals of every subject as family_signal_metric columns."""
-    points = series.resample(v.samples(s, d).filter(F.col("signal").isin(v.SIGNALS)), ["subject", "signal"], 16).select("subject", "signal", F.col("k").cast("long").alias("pos"), F.col("z").alias("value"))
+    """Both graphs of the three signals of every subject, resampled to 120 points, as family_signal_metric columns; the tests hold the
+    numbers against the edge tables."""
+    points = series.resample(v.samples(s, d).filter(F.col("signal").isin(v.SIGNALS)), ["subject", "signal"], 120).select("subject", "signal", F.col("k").cast("long").alias("pos"), F.col("z").alias("value"))
     long = visibility.graph_features(points, ["subject", "signal"]).withColumn("name", F.concat_ws("_", "family", "signal"))
     names = [f"{f}_{x}" for f in ("nvg", "hvg") for x in v.SIGNALS]
     return visibility.widen(long, ["subject"], [c for c in long.columns if c not in ("subject", "signal", "family", "name")], names)
@@ -290,7 +295,12 @@ def live_window_statistics(s, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "event_type", "n", F.round("mean", 6).alias("mean"), "min", "max")
 
 
-@query("window_features", None)
+_STATS = ["n", "std", "min", "max", "mean", "range", "median", "skewness", "kurtosis", "entropy", "deriv_mean", "deriv_std"]
+SQL_WIDE = ", ".join(f"max(CASE WHEN signal = '{x}' THEN {m} END) AS {x}_{m}" for x in v.SIGNALS for m in _STATS)
+
+
+@query("window_features", f"""WITH g AS ({SQL["window_quality"]}), s AS ({SQL["window_statistics"]}), e AS ({SQL["histogram_entropy"]}), d AS ({SQL["derivative_statistics"]}), l AS (SELECT * FROM s JOIN e USING (subject, window_id, signal) JOIN d USING (subject, window_id, signal)),
+p AS (SELECT subject, window_id, {SQL_WIDE} FROM l GROUP BY subject, window_id) SELECT * FROM g JOIN p USING (subject, window_id)""")
 def window_features(s, d):
     """Statistics, entropy and derivatives of the three signals of every window that passes the quality check."""
     a, _ = v.aligned(s, d)
@@ -299,7 +309,49 @@ def window_features(s, d):
     a = a.join(good.select(*keys), keys)
     by = [*keys, "signal"]
     long = windows.statistics(a, by).join(windows.histogram_entropy(a, by), by).join(windows.derivative_statistics(a, by), by)
+    long = long.select(*by, "n", "min", "max", *[F.round(c, 7 if c.startswith("deriv") else 6).alias(c) for c in _STATS if c not in ("n", "min", "max")])
     metrics = [c for c in long.columns if c not in by]
     return good.join(visibility.widen(long.withColumnRenamed("signal", "name"), keys, metrics, v.SIGNALS), keys)
 
 
+@query("rate_choice", f"""WITH {v.SQL_INDEX}, r AS (SELECT *, CASE WHEN median_step > 0 THEN 1 / median_step END AS est, CASE signal WHEN 'view' THEN 0.5 WHEN 'click' THEN 0.0 END AS nominal FROM idx)
+SELECT subject, signal, round(coalesce(CASE WHEN nominal > 0 THEN nominal END, est), 9) AS rate FROM r""")
+def rate_choice(s, d):
+    """The nominal rate where it is positive, else the estimated one."""
+    nominal = F.max(F.when(F.col("signal") == "view", 0.5).when(F.col("signal") == "click", 0.0))
+    x = v.samples(s, d)
+    rates = x.groupBy("signal").agg(nominal.alias("_nominal"))
+    parts = [series.signal_index(x.filter(F.col("signal") == r["signal"]), ["subject", "signal"], rate=F.lit(r["_nominal"]).cast("double")) for r in rates.collect()]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out.select("subject", "signal", F.round("rate", 9).alias("rate"))
+
+
+@query("variability_in_windows", f"""WITH {v.SQL_ALIGNED}, {SQL_PEAKS[len(v.SQL_SAMPLES) + 2:]}, hit AS (SELECT a.subject, a.window_id, a.t FROM aligned a JOIN peaks p ON a.event_id = p.event_id WHERE a.signal = 'click'),
+nn AS (SELECT *, (t - lag(t) OVER (PARTITION BY subject, window_id ORDER BY t)) * 1000.0 AS nn FROM hit), dd AS (SELECT *, nn - lag(nn) OVER (PARTITION BY subject, window_id ORDER BY t) AS d FROM nn)
+SELECT subject, window_id, count(*) AS n_peaks, round(CASE WHEN count(*) >= 4 THEN avg(nn) END, 2) AS mean_nn, round(CASE WHEN count(*) >= 4 THEN stddev_samp(nn) END, 2) AS sdnn, round(CASE WHEN count(*) >= 4 THEN sqrt(avg(d * d)) END, 2) AS rmssd,
+round(CASE WHEN count(*) >= 4 THEN 100.0 * avg(CASE WHEN abs(d) > 50 THEN 1 WHEN d IS NOT NULL THEN 0 END) END, 4) AS pnn50 FROM dd GROUP BY subject, window_id""")
+def variability_in_windows(s, d):
+    """Pulse variability from the peaks inside each window; peaks are found once per recording."""
+    peaks = series.peaks(v.samples(s, d).filter("signal = 'click'"), ["subject", "signal"])
+    hits = windows.assign(peaks, v.aligned(s, d)[1], ["subject"], v.WINDOW_S, v.OVERLAP_S)
+    p = series.pulse_variability(hits, ["subject", "window_id"])
+    return p.select("subject", "window_id", "n_peaks", *[F.round(c, 2).alias(c) for c in ("mean_nn", "sdnn", "rmssd")], F.round("pnn50", 4).alias("pnn50"))
+
+
+@query("flatten_json", """WITH j AS (SELECT c_custkey AS id, c_mktsegment AS seg, c_acctbal AS bal FROM customer) SELECT id, 'a.bal' AS path, 'number' AS kind, CAST(CAST(round(bal * 100) AS BIGINT) AS VARCHAR) AS value FROM j
+UNION ALL SELECT id, 'a.list', 'list', '[1,"x"]' FROM j UNION ALL SELECT id, 'flag', 'bool', CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END FROM j UNION ALL SELECT id, 'none', 'null', '' FROM j UNION ALL SELECT id, 'seg', 'text', seg FROM j""")
+def flatten_json(s, d):
+    """Leaves of objects whose fields no schema names."""
+    c = v.read(s, d, "customer")
+    text = F.concat(F.lit('{"seg":"'), "c_mktsegment", F.lit('","a":{"bal":'), F.round(F.col("c_acctbal") * 100).cast("long").cast("string"), F.lit(',"list":[1,"x"]},"flag":'), F.when(F.col("c_custkey") % 2 == 0, "true").otherwise("false"), F.lit(',"none":null}'))
+    return c.select(F.col("c_custkey").alias("id"), F.explode(fn.flatten_json(text)).alias("x")).select("id", "x.*")
+
+
+@query("parse_settings", """WITH t AS (SELECT o_orderkey AS id, o_custkey % 90 AS w, o_orderkey % 70 AS o FROM orders) SELECT id, CASE WHEN w > 0 AND o < w THEN CAST(w AS DOUBLE) END AS window_s, CASE WHEN w > 0 AND o < w THEN CAST(o AS DOUBLE) + 0.5 * (CASE WHEN o + 0.5 < w THEN 1 ELSE 0 END) END AS overlap_s FROM t""")
+def parse_settings(s, d):
+    o = v.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 90).alias("w"), (F.col("o_orderkey") % 70).alias("o"))
+    text = F.concat(F.col("w").cast("string"), F.lit(":"), F.col("o").cast("string"), F.when(F.col("o") + 0.5 < F.col("w"), ".5").otherwise(""))
+    p = o.select("id", fn.parse_setting(text).alias("p"))
+    return p.select("id", "p.window_s", "p.overlap_s")

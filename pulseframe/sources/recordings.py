@@ -40,14 +40,15 @@ def explode_signals(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def read_recordings(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """subject, condition, phase, signal, pos, t (epoch seconds, no zone), values (doubles, null for NaN) of every
-    sample under `path`. Strict: a file whose root is no object is refused."""
+    sample under `path`. A file is parsed once; strict: one whose root is no object fails the scan, otherwise it gives no rows."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_EMPATICA.json").text(path, wholetext=True)
     files = files.select("value", parse_name(F.col("_metadata.file_name")).alias("n"), F.col("_metadata.file_path").alias("file")).filter("n is not null")
+    signals = F.from_json("value", ROWS)
     if strict:
-        bad = files.filter(F.from_json("value", ROWS).isNull() | (F.size(F.from_json("value", ROWS)) < 0)).select("file").limit(1).collect()
-        if bad:
-            raise InvalidTable(f"no object of signals: {bad[0][0]}")
-    rows = explode_signals(files.select("n.*", "value"), "value", ["subject", "condition", "phase"])
+        signals = F.when(F.trim("value").rlike(r"^\{[\s\S]*\}$"), signals)
+        signals = F.coalesce(signals, F.raise_error(F.concat(F.lit("no object of signals: "), "file")).cast(ROWS))
+    rows = files.select("n.*", signals.alias("_s")).select("subject", "condition", "phase", F.explode("_s").alias("signal", "_rows"))
+    rows = rows.select("subject", "condition", "phase", "signal", F.posexplode("_rows").alias("pos", "row"))
     values = F.transform(F.slice("row", 2, F.greatest(F.lit(0), F.size("row") - 1)), lambda x: no_nan(x.try_cast("double")))
     return rows.select("subject", "condition", "phase", "signal", "pos", epoch_seconds(parse_time(F.element_at("row", 1))).alias("t"), values.alias("values"))
 
@@ -105,18 +106,48 @@ def write_store(samples: DataFrame, trials: DataFrame, index: DataFrame, path: s
     index.write.parquet(f"{path}/signals")
 
 
+def twelve_digits(c: Column) -> Column:
+    """A number as text with at most twelve significant digits, as C's %.12g: plain from 1e-5 to 1e12, else with an exponent of two digits
+    or more, without trailing zeros; null is NaN. Halves are those of the shortest decimal form, and
+    subnormal numbers have Java's fewer digits."""
+    x = c.cast("double")
+    text = F.format_string("%.11e", x)
+    power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^(-?\d\.?\d*)e", 1), r"\.?0+$", "")
+    plain = lambda k: F.format_string(f"%.{k}f", x)
+    fixed = F.lit(None).cast("string")
+    for k in range(17):
+        fixed = F.when(F.lit(11) - power == k, plain(k)).otherwise(fixed)
+    fixed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    return F.when(x.isNull() | F.isnan(x), "NaN").when(x == 0, "0").when((power < -4) | (power >= 12), F.concat(digits, F.regexp_extract(text, r"(e[+-]\d+)$", 1))).otherwise(fixed)
+
+
 def write_features_csv(df: DataFrame, path: str, order: list) -> None:
-    df.orderBy(*order).write.option("header", "true").option("nullValue", "NaN").csv(path)
+    """Feature files in the order of `order` (a range sort: file after file), doubles with twelve digits, NaN for nulls; an older table
+    there is replaced."""
+    out = df.orderBy(*order).select(*[twelve_digits(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema])
+    out.write.mode("overwrite").option("header", "true").option("nullValue", "NaN").csv(path)
 
 
-def write_results(results: dict[str, DataFrame], path: str) -> None:
-    """One table per result, by target where it has one; vectors stay arrays."""
+def write_results(results: dict[str, DataFrame], path: str, run: str) -> None:
+    """One table per result, partitioned by run and by target where it has one; vectors stay arrays. A run that is written again replaces
+    its own partitions, so nothing doubles."""
     for name, df in results.items():
-        w = df.write.mode("append")
-        (w.partitionBy("target") if "target" in df.columns else w).parquet(f"{path}/{name}")
+        parts = ["run", *(["target"] if "target" in df.columns else [])]
+        df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{name}")
+
+
+def write_eligibility(subjects: DataFrame, inputs: DataFrame, path: str, run: str) -> None:
+    """The participants' and the inputs' eligibility tables (trials.completeness, trials.eligibility_report) of a run."""
+    write_results({"participant_eligibility": subjects, "input_eligibility": inputs}, path, run)
 
 
-def write_manifest(df: DataFrame, path: str, subject: str, trial: list[str], **contract) -> None:
-    """One JSON row: rows, subjects, trials and what the caller states."""
+def write_manifest(df: DataFrame, path: str, subject: str, trial: list[str], status: str, configuration: dict, inputs: DataFrame, **contract) -> None:
+    """One JSON row: status, the configuration and its fingerprint, per input file (path, size, sha; see file_digests) its hash, rows, subjects, trials and what
+    the caller states. An older manifest there is replaced."""
     facts = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(subject).alias("subjects"), F.count_distinct(*trial).alias("trials"))
-    facts.select("*", *[F.lit(v if isinstance(v, (int, float, bool, str)) else json.dumps(v)).alias(k) for k, v in contract.items()]).coalesce(1).write.json(path)
+    files = inputs.agg(F.sort_array(F.collect_list(F.struct("path", "size", "sha"))).alias("inputs"))
+    text = json.dumps(configuration, sort_keys=True, separators=(",", ":"))
+    said = {"status": F.lit(status), "configuration": F.lit(text), "configuration_sha256": F.sha2(F.lit(text), 256)}
+    said |= {k: F.lit(v if isinstance(v, (int, float, bool, str)) else json.dumps(v)) for k, v in contract.items()}
+    facts.crossJoin(F.broadcast(files)).select("*", *[c.alias(k) for k, c in said.items()]).coalesce(1).write.mode("overwrite").json(path)
