@@ -7,6 +7,7 @@ tasks, machines and runs. All functions work on whole texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back_memory() -> None:
+    """Workers live on between tasks; what a task has freed goes back to the machine, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `most` bytes of `column`; a longer text comes alone."""
     for batch in batches:
@@ -69,7 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(total, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # workers live on between tasks
+    give_back_memory()
 
 
 class Words:
