@@ -188,7 +188,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     give_back_memory()
 
 
-_KIND = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_KIND = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def _batches(rows: Iterable[tuple], ddl: str, size: int = 2048) -> Iterator[pa.RecordBatch]:
