@@ -2,7 +2,7 @@
 
 White space always separates tokens of this vocabulary and each piece between white space is encoded
 by itself, so a batch's distinct pieces go through the tokenizers library and every occurrence is
-a lookup. Pieces made of lower-case Latin letters and closing punctuation are looked up as the two
+a lookup. Strings of special tokens are found inside pieces as the library does by default. Pieces made of lower-case Latin letters and closing punctuation are looked up as the two
 parts that the vocabulary's own splitting makes of them.
 """
 
@@ -29,7 +29,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         ends = [i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]
         self.is_end = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         self.is_end[ends] = True

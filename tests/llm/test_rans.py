@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def expected(rows):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     at, out = 0, []
     for doc, text in sorted(rows):
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
@@ -28,6 +27,21 @@ def test_round_trip_equals_plain_encoding(which, request):
     assert got == expected([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_special_strings_are_the_librarys(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from pulseframe.llm.token_ids import PieceEncoder
+
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\n", "\t", "abc", "Word", "word.", "é", "12", "'s", "it's", "<", "|", ">", "endoftext", "\xa0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(4000)] + ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|startoftext|>y"]
+    ids, at = PieceEncoder(PATH)(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want and any(49406 in w for w in want) and any(49407 in w for w in want)
+
+
 def test_empty_table(no_docs):
     assert rans.round_trip(no_docs, PATH).count() == 0
 
