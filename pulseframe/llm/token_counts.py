@@ -13,7 +13,6 @@ import os
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,9 @@ from pyspark.sql import functions as F
 from .store import table
 from .textops import slices
 
-#: Fixed value: the splitting pattern of this kind of vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens kept with their counts between slices, the longest of them in characters, and pre-tokens counted in one go.
-CACHE_WORDS, CACHE_LETTERS, WORDS_A_BLOCK, LONG_TEXT = 600_000, 48, 400_000, 4 << 20
+#: Pre-tokens kept with their counts between slices, the longest of them in characters, and characters split in one go.
+CACHE_WORDS, CACHE_LETTERS, BLOCK = 600_000, 48, 1 << 20
+_CUT = regex.compile(r"(?<=\S)\s")
 LIMIT = 1024
 NONE = np.int64(1 << 40)
 
@@ -97,12 +95,43 @@ class Merges:
         return left
 
 
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
+
+
 @functools.lru_cache(1)
-def _unsettled() -> regex.Pattern:
-    """Characters that this Python's table does not know: there tables of Unicode may differ, and the library splits."""
-    unknown = [cp for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) == "Cn"]
-    breaks = [i for i in range(1, len(unknown)) if unknown[i] != unknown[i - 1] + 1]
-    return regex.compile("[" + "".join(f"\\U{unknown[a]:08x}-\\U{unknown[b - 1]:08x}" for a, b in zip([0, *breaks], [*breaks, len(unknown)])) + "]")
+def _classes() -> np.ndarray:
+    """The class of every code point. UNKNOWN ones are new to this Python's table: there tables of Unicode may differ, and the library splits."""
+    points = [cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000]
+    every = "".join(map(chr, points))
+    found = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        found[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    found[[cp for cp in points if unicodedata.category(chr(cp)) == "Cn"]] = UNKNOWN
+    return found
+
+
+def token_starts(cp: np.ndarray, kind: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """Which code points begin a pre-token; `hard` marks the first one of each part, over which nothing reaches.
+
+    The pattern in arrays: runs of one class are tokens; of white space before something else the last character is split off, and
+    if it is a blank it belongs to what follows; a contraction is an apostrophe that begins a token, with its letters.
+    """
+    begin = hard.copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    space = kind == SPACE
+    tail = np.flatnonzero(space[:-1] & ~space[1:] & ~hard[1:])
+    begin[tail] = True
+    begin[tail[cp[tail] == 32] + 1] = False
+    mark = np.flatnonzero((cp == 39) & begin)
+    far = np.append(cp, [0, 0])
+    wall = np.append(hard, [True, True])
+    one, two = far[mark + 1], far[mark + 2]
+    short = ~wall[mark + 1] & np.isin(one, [ord(c) for c in "stmd"])
+    long = ~wall[mark + 1] & ~wall[mark + 2] & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+    begin[mark[short | long] + 1] = False
+    after = np.concatenate([mark[short] + 2, mark[long] + 3])
+    begin[after[after < len(begin)]] = True
+    return begin
 
 
 class TokenCounter:
@@ -122,55 +151,76 @@ class TokenCounter:
         self.merges = Merges(model["vocab"], model["merges"])
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pattern = regex.compile(PATTERN)
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.known: dict[str, int] = {}
 
     def _parts(self, text: str) -> Iterator[str]:
         """What lies between added tokens."""
         at = 0
-        for m in self.special.finditer(text) if self.special else ():
+        for m in self.special.finditer(text):
             yield text[at : m.start()]
             at = m.end()
-        yield text[at:] if at else text
-
-    def _words(self, part: str) -> Iterator[list[str]]:
-        if not part.isascii() and _unsettled().search(part):
-            yield [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
-        elif len(part) <= LONG_TEXT:
-            yield self.pattern.findall(part)
-        else:
-            found = self.pattern.finditer(part)
-            while block := [m.group() for m in islice(found, WORDS_A_BLOCK)]:
-                yield block
+        yield text[at:]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        total, waiting, n = np.zeros(len(texts), dtype=np.int64), [], 0
+        """The number of tokens of each text."""
+        total, waiting, letters = np.zeros(len(texts), dtype=np.int64), [], 0
         for i, text in enumerate(texts):
-            parts = [text] if not self.special or not self.special.search(text) else self._parts(text)
-            for k, part in enumerate(parts):
+            for k, part in enumerate(self._parts(text) if self.special and self.special.search(text) else [text]):
                 total[i] += k > 0
-                for words in self._words(part):
-                    waiting.append((i, words))
-                    n += len(words)
-                    if n >= WORDS_A_BLOCK:
+                at = 0
+                while at < len(part):  # a long part is cut before white space, where a pre-token always ends
+                    end = _CUT.search(part, at + BLOCK) if len(part) - at > BLOCK else None
+                    to = end.start() if end else len(part)
+                    waiting.append((i, part[at:to] if to - at < len(part) else part))
+                    letters, at = letters + to - at, to
+                    if letters >= BLOCK:
                         self._settle(waiting, total)
-                        waiting, n = [], 0
+                        waiting, letters = [], 0
         self._settle(waiting, total)
         return total
 
-    def _settle(self, waiting: list[tuple[int, list[str]]], total: np.ndarray) -> None:
+    def _settle(self, waiting: list[tuple[int, str]], total: np.ndarray) -> None:
+        if not waiting:
+            return
+        owner, parts = np.array([i for i, _ in waiting]), [p for _, p in waiting]
+        data = "".join(parts).encode()
+        cp = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
+        first = np.cumsum([0, *map(len, parts)])
+        kind = _classes()[cp]
+        if (kind == UNKNOWN).any():
+            odd = [k for k, p in enumerate(parts) if not p.isascii() and (_classes()[np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)] == UNKNOWN).any()]
+            for k in odd:
+                words = [parts[k][a:b] for _, (a, b) in self.library.pre_tokenize_str(parts[k])]
+                total[owner[k]] += sum(self._counts(words).tolist())
+            odd = set(odd)
+            return self._settle([w for k, w in enumerate(waiting) if k not in odd], total)
+        hard = np.zeros(len(cp), dtype=bool)
+        hard[first[:-1]] = True
+        starts = np.flatnonzero(token_starts(cp, kind, hard))
+        if len(data) == len(cp):
+            at = starts
+        else:
+            width = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
+            at = (np.cumsum(width, dtype=np.int64) - width)[starts]
+        offsets = np.append(at, len(data)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        n = self._counts(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        sums = np.append(0, np.cumsum(n))
+        ends = sums[np.searchsorted(starts, first)]
+        np.add.at(total, owner, np.diff(ends))
+
+    def _counts(self, words: list[str]) -> np.ndarray:
+        """The tokens of each pre-token; new ones are merged together, those not too long are kept."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*(words for _, words in waiting)).difference(self.known))
-        counts = self.merges.lengths([w.encode("utf-8", "surrogatepass") for w in new])
-        self.known.update(zip(new, counts.tolist()))
-        get = self.known.__getitem__
-        for i, words in waiting:
-            total[i] += sum(map(get, words))
+        new = list({w for w in words if w not in self.known})
+        self.known.update(zip(new, self.merges.lengths([w.encode() for w in new]).tolist()))
+        found = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         for w in new:
             if len(w) > CACHE_LETTERS:
                 del self.known[w]
+        return found
 
 
 @functools.lru_cache(2)
@@ -182,8 +232,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of every row's whole text, as the vocabulary file `path` encodes it.
 
     A null text counts as empty: no bytes, no tokens. Rows that share a doc_id or a text give one row each, a null doc_id
-    stays null, other columns are ignored, an empty table gives no rows. A very long text comes alone and its pre-tokens are counted in
-    blocks; one pre-token without end is one array (40 bytes a byte of it).
+    stays null, other columns are ignored, an empty table gives no rows. A very long text is counted in blocks that end before
+    white space; one pre-token without end is one array (some 60 bytes a byte of it).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,14 +25,13 @@ def test_counts_equal_the_library(which, request, library):
 
 def test_fuzz_with_special_strings_and_odd_characters(library):
     rng = random.Random(13)
-    bits = ["<|endoftext|>", "<|endoftext|", "<|", "'s", "'ll", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "aaa", "aaaaaaaaa", "the", " the", "é", "漢字", "\U0001f600", "٣", "12", "3.5", "!!", "...", "՘", "\U000187f8", "x" * 40, "İ", "ǅ", "‍"]
+    bits = ["'", "re", "'re", "'ve", "'d", "s", "\"'", " '", "\n'", "1'", "<|endoftext|>", "<|endoftext|", "<|", "'s", "'ll", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "aaa", "aaaaaaaaa", "the", " the", "é", "漢字", "\U0001f600", "٣", "12", "3.5", "!!", "...", "՘", "\U000187f8", "x" * 40, "İ", "ǅ", "‍"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
     assert tc.TokenCounter(PATH)(texts).tolist() == library(texts)
 
 
 def test_long_texts_and_long_words(library, monkeypatch):
-    monkeypatch.setattr(tc, "LONG_TEXT", 1000)
-    monkeypatch.setattr(tc, "WORDS_A_BLOCK", 77)
+    monkeypatch.setattr(tc, "BLOCK", 77)
     monkeypatch.setattr(tc, "CACHE_WORDS", 50)
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdefgh") for _ in range(20000)), "ab " * 9000, "a" * 30001, "a1" * 5000 + " ", "", "\n" * 5000]
@@ -40,6 +39,13 @@ def test_long_texts_and_long_words(library, monkeypatch):
     assert count(texts).tolist() == library(texts) and count(texts).tolist() == library(texts)
 
 
+def test_every_character_splits_as_in_the_library(library):
+    rng = random.Random(3)
+    points = [cp for cp in range(0x30000) if not 0xD800 <= cp < 0xE000]
+    texts = [f"a{chr(cp)}a1{chr(cp)}1 {chr(cp)} {chr(cp)}.{chr(cp)}'s" for cp in rng.sample(points, 8000) + list(range(0x300)) + list(range(0x2000, 0x2100)) + list(range(0x3000, 0x3100))]
+    assert tc.TokenCounter(PATH)(texts).tolist() == library(texts)
+
+
 def test_runs_merge_every_second_place():
     letters = tc.byte_letters()
     vocab = {c: i for i, c in enumerate(letters.values())} | {"aa": 256, "aaa": 257, "ab": 258}
