@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import align, evaluate, kernels, models, prepare, reports, resampling, series, trials, validate, windows
+from ..operators import align, evaluate, folded_trees, hinge, kernels, models, nested, perceptron, prepare, reports, resampling, series, stored_models, trials, validate, windows
+from ..sources import versions
 from . import views as v
 from .register import query
 
@@ -412,14 +413,27 @@ def rbf_machine(s, d):
     return _out_of_fold(s, d, "svm", rounds=10, cost=1.0, gamma="scale", directions=32)
 
 
-def _nested(s, d):
-    """Predictions and inner scores of both candidates."""
+def _trial_vectors(s, d, features=v.FEATURES):
     rows = v.features(s, d).withColumn("y", fn.encode_target(F.col("rating"), "binary")).filter("y is not null")
-    plan = prepare.split_plan(rows, "subject")
-    grid = models.grid("svm")
+    return nested.trial_vectors(rows, TRIAL, features, "y"), prepare.split_plan(rows, "subject")
+
+
+#: Smaller searches than `folded_trees.FOREST_GRID` and BOOST_GRID.
+FORESTS = [{"trees": 4, "max_depth": d, "min_leaf": 3} for d in (3, 5)]
+BOOSTS = [{"rounds": r, "depth": 2, "rate": 0.3} for r in (2, 4)]
+
+
+def _nested(s, d):
+    """Predictions and inner scores of all candidates."""
     found, scores = [], []
-    for order, features in enumerate((["hc_qty", "hc_price"], v.FEATURES)):
-        one, inner = kernels.nested_rbf(kernels.trial_vectors(rows, TRIAL, features, "y"), plan, grid, 2)
+    fits = [
+        (["hc_qty", "hc_price"], lambda t, p: kernels.nested_rbf(t, p, models.grid("svm"), 2)),
+        (v.FEATURES, lambda t, p: kernels.nested_rbf(t, p, models.grid("svm"), 2)),
+        (v.FEATURES, lambda t, p: folded_trees.nested_trees(t, p, FORESTS, 2, "rf")),
+        (v.FEATURES, lambda t, p: folded_trees.nested_trees(t, p, BOOSTS, 2, "boost")),
+    ]
+    for order, (features, fit) in enumerate(fits):
+        one, inner = fit(*_trial_vectors(s, d, features))
         found.append(one.withColumn("candidate_order", F.lit(order)))
         scores.append(inner.withColumn("candidate_order", F.lit(order)))
     return align.append(*found), align.append(*scores)
@@ -427,15 +441,40 @@ def _nested(s, d):
 
 @query("nested_selection")
 def nested_selection(s, d):
-    """All leave-one-subject-out folds of two candidates (two representations) over all windows, each with the parameters that its
-    inner folds choose, rolled up to trials; the tests hold it against plain loops."""
-    return _nested(s, d)[0].select("candidate_order", "outer_fold", "parameter_index", "subject", "trial", "y_true", "y_pred", "source_sample_count", F.round(F.col("scores")[0], 6).alias("score"))
+    """All leave-one-subject-out folds of four candidates (least-squares machines on two representations, forests, boosted trees) over all windows, each with the parameters that its
+    inner folds choose, rolled up to trials; the tests hold each fit against plain loops. Trees are fewer than in the whole search."""
+    return _nested(s, d)[0].select("candidate_order", "outer_fold", "parameter_index", "subject", "trial", "y_true", "y_pred", "source_sample_count", F.round(F.element_at("scores", -1), 6).alias("score"))
 
 
 @query("inner_scores")
 def inner_scores(s, d):
-    """Utility of every parameter set of both candidates in every outer fold, and which was chosen."""
-    return _nested(s, d)[1].select("candidate_order", "outer_fold", "parameter_index", "utility", "chosen")
+    """Utility of every parameter set of the least-squares candidate in every outer fold, and which was chosen."""
+    return kernels.nested_rbf(*_trial_vectors(s, d), models.grid("svm"), 2)[1].select("outer_fold", "parameter_index", "utility", "chosen")
+
+
+@query("nested_support_vectors")
+def nested_support_vectors(s, d):
+    """Support vector machines with hinge loss in all leave-one-subject-out folds, two costs; a machine stops at a proven gap of 5 % or after 16 passes."""
+    found = hinge.nested_hinge(*_trial_vectors(s, d), [{"cost": c, "gamma": "scale"} for c in (0.1, 1.0)], 2, landmarks=24, gap=0.05, passes=16)[0]
+    return found.select("outer_fold", "parameter_index", "subject", "trial", "y_true", "y_pred", "source_sample_count", F.round(F.col("scores")[0], 6).alias("score"))
+
+
+@query("nested_perceptrons")
+def nested_perceptrons(s, d):
+    """Perceptrons that stop early on held-out training subjects in all leave-one-subject-out folds; at most 10 epochs of small networks stand for the whole search."""
+    found = perceptron.nested_perceptrons(*_trial_vectors(s, d), [{"hidden": (8,), "alpha": 0.001, "rate": r} for r in (0.1, 0.03)], 2, epochs=10, patience=3)[0]
+    return found.select("outer_fold", "parameter_index", "subject", "trial", "y_true", "y_pred", "source_sample_count", F.round(F.col("scores")[1], 6).alias("score"))
+
+
+@query("stored_model_scores")
+def stored_model_scores(s, d):
+    """Every window by the stored forest of the fold that holds its subject out: fitted, written as a version, read back and applied."""
+    kept = []
+    folded_trees.nested_trees(*_trial_vectors(s, d), FORESTS[:1], 2, "rf", keep=kept)
+    path = versions.scratch(s, "models")
+    versions.write_version(stored_models.model_table(s, stored_models.exported(kept, 0, v.FEATURES)), path)
+    found = stored_models.score_models(v.features(s, d), versions.read_version(s, path), ["subject", "trial", "window_id"], "subject")
+    return found.select("subject", "trial", "window_id", "outer_fold", "y_pred", F.round(F.col("scores")[1], 6).alias("score"))
 
 
 # --- evaluation
@@ -587,12 +626,12 @@ pm AS (SELECT a.subject, a.feature, a."repeat", a.rating, CASE WHEN a.feature =
 sc AS (SELECT subject, feature, "repeat", -avg(abs(rating - y_pred)) AS score FROM pm GROUP BY ALL), ba AS (SELECT subject, -avg(abs(rating - (hc_price / 20000 + nvg_disc * 10))) AS base FROM rows GROUP BY 1)"""
 
 
-@query("permutation_importance", f"""WITH {SQL_PERMUTED} SELECT subject, feature, round(avg(base - score), 6) AS importance_mean, round(stddev_pop(base - score), 6) AS importance_std FROM sc JOIN ba USING (subject) GROUP BY ALL""")
+@query("permutation_importance", f"""WITH {SQL_PERMUTED} SELECT subject, feature, round(avg(base - score), 9) AS importance_mean, round(stddev_pop(base - score), 8) AS importance_std FROM sc JOIN ba USING (subject) GROUP BY ALL""")
 def permutation_importance(s, d):
     """On the held-out fold of every subject, with a fixed linear scorer."""
     f = v.features(s, d).withColumn("id", F.concat_ws("|", "trial", "window_id"))
     p = reports.permutation_importance(f, "id", ["hc_price", "nvg_disc"], 2, _linear, _minus_error, ["subject"])
-    return p.select("subject", "feature", *f6("importance_mean", "importance_std"))
+    return p.select("subject", "feature", F.round("importance_mean", 9).alias("importance_mean"), F.round("importance_std", 8).alias("importance_std"))
 
 
 @query("importance_summary", """WITH x AS (SELECT event_type AS feature, user_id % 9 AS outer_fold, value FROM events), a AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s, count(DISTINCT outer_fold) AS folds FROM x GROUP BY 1) SELECT feature, round(m, 6) AS mean, round(s, 6) AS std, folds, rank() OVER (ORDER BY m DESC) AS rank FROM a""")
@@ -620,10 +659,10 @@ def _shapley(s, d):
     return reports.shapley_values(f, "id", ["hc_price", "nvg_disc", "hc_qty"], back, _linear, 3, fold="subject")
 
 
-@query("shapley_values", f"""WITH {SQL_SHAPLEY} SELECT id, feature, round(value, 5) AS value FROM (UNPIVOT (SELECT id, hc_price, nvg_disc, hc_qty FROM sv) ON hc_price, nvg_disc, hc_qty INTO NAME feature VALUE value)""")
+@query("shapley_values", f"""WITH {SQL_SHAPLEY} SELECT id, feature, round(value, 9) AS value FROM (UNPIVOT (SELECT id, hc_price, nvg_disc, hc_qty FROM sv) ON hc_price, nvg_disc, hc_qty INTO NAME feature VALUE value)""")
 def shapley_values(s, d):
     """Sampled attributions of the linear scorer for all rows; each subject's background is 100 rows of other subjects."""
-    return _shapley(s, d).select("id", "feature", F.round("value", 5).alias("value"))
+    return _shapley(s, d).select("id", "feature", F.round("value", 9).alias("value"))
 
 
 @query("attribution_summary", f"""WITH {SQL_SHAPLEY}, u AS (SELECT subject, feature, avg(abs(value)) AS a, avg(value) AS m FROM (UNPIVOT sv ON hc_price, nvg_disc, hc_qty INTO NAME feature VALUE value) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY a DESC, feature) AS k FROM u),

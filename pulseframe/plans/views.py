@@ -87,7 +87,7 @@ aligned AS (SELECT s.*, w.window_id, s.t - w.common_start AS rel_t FROM samples
 SQL_FEATURES = """features AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS subject, o_orderkey AS trial,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS window_id, o_orderpriority AS condition,
   l_quantity AS hc_qty, l_extendedprice AS hc_price, l_discount AS nvg_disc, l_tax AS nvg_tax, CAST(floor(o_totalprice / 55556) + 1 AS INTEGER) AS rating, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-SQL_INPUTS = SQL_FEATURES + ", inputs AS (SELECT *, 'a' AS input_id FROM features UNION ALL SELECT *, 'b' FROM features WHERE l_returnflag <> 'R')"
+SQL_INPUTS = SQL_FEATURES.replace("AS (", "AS MATERIALIZED (", 1) + ", inputs AS MATERIALIZED (SELECT *, 'a' AS input_id FROM features UNION ALL SELECT *, 'b' FROM features WHERE l_returnflag <> 'R')"
 SQL_PREDICTIONS = SQL_FEATURES + """, based AS (SELECT *, hc_price / 100000 + k * nvg_disc + hc_qty / 1000 AS base FROM features, (SELECT unnest([0, 1, 2, 3]) AS k)),
 scored AS (SELECT k AS candidate_order, subject, trial, window_id, CASE WHEN rating <= 3 THEN 0 WHEN rating <= 6 THEN 1 ELSE 2 END AS y_true, 1.0 - base AS s0, 0.55 - abs(base - 0.5) AS s1, base - nvg_tax * k AS s2 FROM based),
 pred AS (SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS y_pred FROM scored)"""
