@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars as fn
-from ..operators import series, trials, validate, visibility, windows
+from ..operators import feature_rows, series, trials, validate, visibility, waves, windows
 from ..sources import recordings
 from . import views as v
 from .register import SQL, query
@@ -265,6 +266,60 @@ def graph_features_wide(s, d):
     return visibility.widen(long, ["subject"], [c for c in long.columns if c not in ("subject", "signal", "family", "name")], names)
 
 
+SQL_WINDOW_PAIRS = v.SQL_ALIGNED + """, pts AS (SELECT subject, window_id, signal, value, row_number() OVER (PARTITION BY subject, window_id, signal ORDER BY pos) - 1 AS p FROM aligned),
+wp AS (SELECT a.subject, a.window_id, a.signal, a.p AS i, b.p AS j, (b.value - a.value) / (b.p - a.p) AS slope FROM pts a JOIN pts b ON a.subject = b.subject AND a.window_id = b.window_id AND a.signal = b.signal AND a.p < b.p),
+ed AS (SELECT subject, window_id, signal, i, j FROM (SELECT *, max(slope) OVER (PARTITION BY subject, window_id, signal, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM wp) WHERE before IS NULL OR slope > before),
+dg AS (SELECT subject, window_id, signal, node, count(*) AS d FROM (SELECT subject, window_id, signal, i AS node FROM ed UNION ALL SELECT subject, window_id, signal, j FROM ed) GROUP BY ALL)"""
+SQL_WINDOW_GRAPHS = f"""WITH {SQL_WINDOW_PAIRS}, tri AS (SELECT a.subject, a.window_id, a.signal, unnest([a.i, a.j, b.j]) AS node FROM ed a JOIN ed b ON a.subject = b.subject AND a.window_id = b.window_id AND a.signal = b.signal AND a.j = b.i
+JOIN ed c ON c.subject = a.subject AND c.window_id = a.window_id AND c.signal = a.signal AND c.i = a.i AND c.j = b.j), t AS (SELECT subject, window_id, signal, node, count(*) AS t FROM tri GROUP BY ALL),
+b AS (SELECT dg.*, d * (d - 1) / 2 AS w, coalesce(t, 0) AS t FROM dg LEFT JOIN t USING (subject, window_id, signal, node))
+SELECT subject, window_id, signal, sum(d) / 2.0::DOUBLE AS edges, round(avg(d), 6) AS degree_mean, round(stddev_pop(d), 6) AS degree_std, round(avg(CASE WHEN w > 0 THEN t / w ELSE 0 END), 6) AS clustering_mean, round(coalesce(sum(t) / nullif(sum(w), 0), 0), 6) AS transitivity FROM b GROUP BY ALL"""
+
+
+@query("window_graphs", SQL_WINDOW_GRAPHS)
+def window_graphs(s, d):
+    """Degree and clustering columns of the natural graph of every signal in every window, over the samples themselves."""
+    a, _ = v.aligned(s, d)
+    keys = ["subject", "window_id", "signal"]
+    points = a.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)
+    g = visibility.graph_features(points, keys, ("natural",), "place").filter("edges > 0")
+    return g.select(*keys, "edges", *[F.round(c, 6).alias(c) for c in ("degree_mean", "degree_std", "clustering_mean", "transitivity")])
+
+
+SQL_CLEAN = v.SQL_SAMPLES + """, ks AS (SELECT unnest(range(-12, 13)) AS k), hw AS (SELECT k, CASE WHEN k = 0 THEN 0.25 ELSE sin(pi() * 0.25 * k) / (pi() * k) END * (0.5 + 0.5 * cos(pi() * k / 13)) AS w FROM ks),
+h AS (SELECT k, (CASE WHEN k = 0 THEN 1 ELSE 0 END) - w / (SELECT sum(w) FROM hw) AS h FROM hw), nn AS (SELECT subject, signal, max(pos) AS last FROM samples GROUP BY ALL), tp AS (SELECT s.subject, s.signal, s.pos, h, greatest(0, least(last, s.pos + k)) AS at FROM samples s JOIN nn USING (subject, signal), h)"""
+
+
+@query("pulse_wave", f"""WITH {SQL_CLEAN} SELECT tp.subject, tp.signal, tp.pos, round(sum(h * x.value), 6) AS clean FROM tp JOIN samples x ON tp.subject = x.subject AND tp.signal = x.signal AND tp.at = x.pos GROUP BY ALL""")
+def pulse_wave(s, d):
+    """Every signal as a band-passed pulse wave at four samples a second."""
+    return waves.pulse_wave(v.samples(s, d), ["subject", "signal"], 4.0).select("subject", "signal", "pos", F.round("clean", 6).alias("clean"))
+
+
+@query("pulse_beats")
+def pulse_beats(s, d):
+    """Beats of every signal's band-passed wave."""
+    return waves.pulse_wave(v.samples(s, d), ["subject", "signal"], 4.0).filter("is_beat").select("subject", "signal", "pos", "t", F.round("clean", 6).alias("clean"))
+
+
+@query("skin_conductance_responses")
+def skin_conductance_responses(s, d):
+    """Responses of every signal with onset, half-recovery and amplitude."""
+    keys = ["subject", "signal"]
+    r = waves.skin_responses(waves.skin_wave(v.samples(s, d), keys, 4.0), keys)
+    return r.select(*keys, "pos", "onset", "recovery", F.round("amplitude", 6).alias("amplitude"))
+
+
+@query("feature_rows")
+def feature_rows_(s, d):
+    """All 125 columns of every window of the three signals; graphs of 24 points."""
+    roles = F.create_map(*[F.lit(x) for pair in zip(v.SIGNALS, feature_rows.SIGNALS) for x in pair])
+    x = v.samples(s, d)
+    named = x.withColumn("signal", roles[F.col("signal")]).filter("signal is not null")
+    base = x.filter("signal = 'signup'").select("subject", "value")
+    return feature_rows.feature_rows(named, ["subject"], ["subject"], v.WINDOW_S, v.OVERLAP_S, dict.fromkeys(feature_rows.SIGNALS, 4.0), 6.0, 24, base)
+
+
 @query("store_violations", f"""WITH {v.SQL_INDEX} SELECT 'unknown_trial' AS check, subject || '|' || signal AS key FROM idx WHERE subject % 5 = 0
 UNION ALL SELECT 'other_count', subject || '|' || signal FROM idx WHERE subject % 7 = 1 UNION ALL SELECT 'bad_rating', CAST(subject AS VARCHAR) FROM (SELECT DISTINCT subject FROM idx) WHERE subject % 5 <> 0 AND subject % 11 = 0""")
 def store_violations(s, d):
@@ -318,13 +373,8 @@ def window_features(s, d):
 SELECT subject, signal, round(coalesce(CASE WHEN nominal > 0 THEN nominal END, est), 9) AS rate FROM r""")
 def rate_choice(s, d):
     """The nominal rate where it is positive, else the estimated one."""
-    nominal = F.max(F.when(F.col("signal") == "view", 0.5).when(F.col("signal") == "click", 0.0))
-    x = v.samples(s, d)
-    rates = x.groupBy("signal").agg(nominal.alias("_nominal"))
-    parts = [series.signal_index(x.filter(F.col("signal") == r["signal"]), ["subject", "signal"], rate=F.lit(r["_nominal"]).cast("double")) for r in rates.collect()]
-    out = parts[0]
-    for one in parts[1:]:
-        out = out.unionByName(one)
+    nominal = F.when(F.col("signal") == "view", 0.5).when(F.col("signal") == "click", 0.0)
+    out = series.signal_index(v.samples(s, d), ["subject", "signal"], rate=nominal)
     return out.select("subject", "signal", F.round("rate", 9).alias("rate"))
 
 
