@@ -26,7 +26,7 @@ WINDOW, MASK_BITS, LEAST, LONGEST = 16, 4, 8, 2047
 WORDS, SURE = 50, 24
 #: Without a cut for QUIET bytes, the places with the least hash of the last LOCAL bytes are cuts too (periodic text has no others).
 QUIET, LOCAL = 256, 64
-#: Where a stretch of repeated windows has several sources, each is compared this many bytes beyond its own windows.
+#: Where a stretch of repeated windows has several sources, each is compared this many bytes beyond its own windows first, and further in steps while bytes are equal.
 REACH = 2048
 #: Bytes compared beyond the chunks at both sides of a stretch of repeated windows: cuts near its ends may differ.
 MARGIN = 128
@@ -199,18 +199,22 @@ def _stretches(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
     k = np.searchsorted(row_at, s, side="right") - 1
     take = pa.array(some[k])
     found = [lo[some[k]] + begins[p] - row_at[k], finish[q] - begins[p], n_words]
-    return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "other", "first_doc_id")), *(pa.array(v.astype(np.int64)) for v in found)], names=["doc_id", "other", "first_doc_id", "start", "n_bytes", "n_words"])
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in _PAIR), *(pa.array(v.astype(np.int64)) for v in found)], names=[*_PAIR, "start", "n_bytes", "n_words"])
+
+
+#: What names a compared pair and its bounds.
+_PAIR = ["doc_id", "other", "first_doc_id", "src_other", "lo", "hi", "from_b", "run_lo", "run_hi"]
 
 
 def equal_stretches(pairs: DataFrame, words: int) -> DataFrame:
-    """doc_id, other, start, n_bytes, n_words, first_doc_id of every stretch of whole words, `words` or more, in which the
+    """_PAIR, start, n_bytes, n_words of every stretch of whole words, `words` or more, in which the
     bytes lo to hi of a text equal those of its source from from_b on; `a` and `b` hold them and the bytes next to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "a"):
             yield _stretches(batch, words)
 
-    return pairs.select("doc_id", "other", "first_doc_id", "lo", "hi", "from_b", "a", "b").mapInArrow(run, "doc_id long, other long, first_doc_id long, start long, n_bytes long, n_words long")
+    return pairs.select(*_PAIR, "a", "b").mapInArrow(run, ", ".join(f"{c} long" for c in [*_PAIR, "start", "n_bytes", "n_words"]))
 
 
 def _told_apart(docs: DataFrame) -> tuple[DataFrame, Column, list[str]]:
@@ -231,7 +235,7 @@ def _verified(docs: DataFrame, words: int) -> DataFrame:
     # Written, so that the join has a plain exchange on both sides and a very common window's rows can be split.
     firsts = materialise(firsts.filter("last > src").select("digest", "src", "src_start"), "window-firsts")
     again = windows.join(firsts, "digest").filter("key > src").select(
-        "key", "src", F.shiftright(p, 12).alias("start"), F.shiftright(p, 1).bitwiseAND(F.lit(2047)).alias("chunk"), (p.bitwiseAND(F.lit(1)) == 1).alias("repeated"), "src_start",
+        "key", "src", "digest", F.shiftright(p, 12).alias("start"), F.shiftright(p, 1).bitwiseAND(F.lit(2047)).alias("chunk"), "src_start",
         F.shiftright(s, 22).alias("size"), F.shiftright(s, 11).bitwiseAND(F.lit(2047)).alias("before"), s.bitwiseAND(F.lit(2047)).alias("after"),
     )
     by = Window.partitionBy("key").orderBy("start")
@@ -241,17 +245,43 @@ def _verified(docs: DataFrame, words: int) -> DataFrame:
     edges = Window.partitionBy("key", "run")
     end = F.col("start") + F.col("size")
     runs = runs.withColumn("run_lo", F.min(F.col("start") - F.col("before") - MARGIN).over(edges)).withColumn("run_hi", F.max(end + F.col("after") + MARGIN).over(edges))
-    wanted = runs.filter("not repeated").withColumn("shift", F.col("start") - F.col("src_start")).groupBy("key", "run", "src", "shift").agg(
+    # A window makes a candidate once in a run: later copies have their own, periods inside a run do not.
+    once = F.row_number().over(Window.partitionBy("key", "run", "digest").orderBy("start"))
+    wanted = runs.withColumn("_once", once).filter("_once = 1").withColumn("shift", F.col("start") - F.col("src_start")).groupBy("key", "run", "src", "shift").agg(
         F.min("start").alias("lo"), F.max(end).alias("hi"), F.min("run_lo").alias("run_lo"), F.max("run_hi").alias("run_hi"),
     )
     many = F.count(F.lit(1)).over(edges) > 1
-    wanted = wanted.withColumn("far", many).select(
-        "key", "src", "shift", F.greatest(F.lit(0), "shift", F.when(F.col("far"), F.greatest("run_lo", F.col("lo") - REACH)).otherwise(F.col("run_lo"))).alias("lo"),
+    first = F.greatest(F.lit(0), "shift", "run_lo")
+    wanted = wanted.withColumn("far", many).withColumn("run_lo", first).select(
+        "key", "src", "shift", "run_lo", "run_hi", F.when(F.col("far"), F.greatest("run_lo", F.col("lo") - REACH)).otherwise(F.col("run_lo")).alias("lo"),
         F.when(F.col("far"), F.least("run_hi", F.col("hi") + REACH)).otherwise(F.col("run_hi")).alias("hi"),
     )
     wanted = materialise(wanted, "stretches-wanted")
     drop_table(firsts)
-    same = ["key", "src", "shift", "lo", "hi"]
+    found, near = None, REACH // 2
+    while True:
+        new = materialise(_compared(rows, key, part, wanted, words), "stretches")
+        found = new if found is None else found.unionByName(new)
+        # Equal bytes up to a bound that is not the run's own: compare on, eight times as far.
+        on = ((F.col("start") <= F.col("lo") + near) & (F.col("lo") > F.col("run_lo"))) | ((F.col("start") + F.col("n_bytes") >= F.col("hi") - near) & (F.col("hi") < F.col("run_hi")))
+        step = (F.col("hi") - F.col("lo")) * 4
+        named = lambda doc, other: F.col(doc) if len(parts) == 1 else F.struct(F.col(doc).alias("doc_id"), F.col(other).alias("other"))
+        more = new.filter(on).select(
+            named("doc_id", "other").alias("key"), named("first_doc_id", "src_other").alias("src"), (F.col("lo") - F.col("from_b")).alias("shift"), "run_lo", "run_hi",
+            F.greatest("run_lo", F.col("lo") - step).alias("lo"), F.least("run_hi", F.col("hi") + step).alias("hi"),
+        )
+        if more.isEmpty():
+            break
+        wanted = materialise(more.distinct(), "stretches-wanted")
+    found = found.select("doc_id", "other", "first_doc_id", "start", "n_bytes", "n_words").distinct()
+    order = Window.partitionBy("doc_id", "other").orderBy("start", -F.col("n_bytes"), "first_doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_reached", F.max(F.col("start") + F.col("n_bytes")).over(order)).filter(F.col("_reached").isNull() | (F.col("_reached") < F.col("start") + F.col("n_bytes"))).drop("_reached")
+    return found
+
+
+def _compared(rows: DataFrame, key: Column, part, wanted: DataFrame, words: int) -> DataFrame:
+    """The equal stretches of every wanted pair (key, src, shift, run_lo, run_hi, lo, hi); both sides' bytes are cut out of their texts and meet."""
+    same = ["key", "src", "shift", "run_lo", "run_hi", "lo", "hi"]
     size = F.col("hi") - F.col("lo")
     before = lambda c: F.least(c, F.lit(1))  # noqa: E731  the byte before, where there is one
     side = lambda k, at, c: wanted.select(*same, F.lit(k).alias("side"), F.col(at).alias("at"), (c - before(c)).alias("from"), (size + before(c) + 1).alias("size"))
@@ -259,11 +289,8 @@ def _verified(docs: DataFrame, words: int) -> DataFrame:
     cut = F.substring(F.col("text").cast("binary"), (F.col("from") + 1).cast("int"), F.col("size").cast("int"))
     spans = materialise(rows.select(key.alias("at"), "text").join(sides, "at").select(*same, "side", cut.alias("bytes")), "spans")
     pairs = spans.filter("side = 0").withColumnRenamed("bytes", "a").join(spans.filter("side = 1").withColumnRenamed("bytes", "b"), same)
-    pairs = pairs.select(part("key", "doc_id").alias("doc_id"), part("key", "other").alias("other"), part("src", "doc_id").alias("first_doc_id"), "lo", "hi", (F.col("lo") - F.col("shift")).alias("from_b"), "a", "b")
-    found = equal_stretches(pairs, words).distinct()
-    order = Window.partitionBy("doc_id", "other").orderBy("start", -F.col("n_bytes"), "first_doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("_reached", F.max(F.col("start") + F.col("n_bytes")).over(order)).filter(F.col("_reached").isNull() | (F.col("_reached") < F.col("start") + F.col("n_bytes"))).drop("_reached")
-    return found
+    pairs = pairs.select(part("key", "doc_id").alias("doc_id"), part("key", "other").alias("other"), part("src", "doc_id").alias("first_doc_id"), part("src", "other").alias("src_other"), "lo", "hi", (F.col("lo") - F.col("shift")).alias("from_b"), "run_lo", "run_hi", "a", "b")
+    return equal_stretches(pairs, words)
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:

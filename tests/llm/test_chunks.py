@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import numpy as np
 import pyarrow as pa
 
@@ -116,6 +118,32 @@ def test_periodic_text_and_a_passage_of_pieces(spark):
     assert words[6] == 80 and 280 <= words[2] <= 300  # at the one shift that is compared, the repeated word loses its first few
 
 
+def test_a_passage_twice_in_one_document(spark):
+    """Both copies are found and cut, apart from each other or from another source's text."""
+    rng = random.Random(21)
+    p, q = prose(rng, 80), prose(rng, 60)
+    fill = [prose(rng, 40) + " " for _ in range(3)]
+    text = fill[0] + p + " " + fill[1] + p + " " + fill[2] + q
+    docs = spark.createDataFrame([(1, prose(rng, 20) + " " + p), (2, prose(rng, 20) + " " + q), (3, text)], "doc_id long, text string")
+    got = sorted((r.start, r.n_words, r.first_doc_id) for r in chunks.repeated_passages(docs).collect())
+    starts = [len(t.encode()) for t in (fill[0], fill[0] + p + " " + fill[1], text[: -len(q)])]
+    assert [(s, w, f) for s, (_, w, f) in zip(starts, got)] == [(starts[0], 80, 1), (starts[1], 80, 1), (starts[2], 60, 2)] and [s for s, _, _ in got] == starts
+    kept = {r.doc_id: r.text for r in chunks.drop_repeats(spark, docs, "").collect()}
+    assert p not in kept[3] and q not in kept[3] and p in kept[1] and q in kept[2]
+
+
+@pytest.mark.parametrize("reach", [64, 2048])
+def test_a_long_stretch_with_two_sources_is_whole(spark, monkeypatch, reach):
+    """A document shares 16 KB with one source, the later part of which is known from an earlier one."""
+    monkeypatch.setattr(chunks, "REACH", reach)
+    rng = random.Random(22)
+    long, own = prose(rng, 2400), prose(rng, 70)
+    rows = [(0, prose(rng, 30) + " " + long), (1, own + " " + long + " " + prose(rng, 10)), (2, prose(rng, 15) + " " + own + " " + long)]
+    got = {(r.doc_id, r.first_doc_id): r for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, 0].n_words == 2400
+    assert got[2, 1].n_words == 2470 and got[2, 1].n_bytes == len((own + " " + long).encode())
+
+
 def test_texts_that_share_a_doc_id_are_told_apart(spark):
     rng = random.Random(11)
     p, q, r = prose(rng, 90), prose(rng, 90), prose(rng, 70)
