@@ -267,11 +267,12 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<first:long,end:long>>"
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests of the stored bytes and, as feature, the track's codec, duration and keyframe ranges."""
+    """Digests of the stored bytes; as feature, the track's codec, duration, first and last keyframe range and a checksum of all; and as
+    keyframes the byte range (first, end) of every keyframe in the container, so a reader can fetch it without the rest."""
 
     def one(doc_id, n_bytes, data: bytes) -> tuple:
         track = probe(data)[0]
@@ -281,14 +282,17 @@ def describe(media: DataFrame) -> DataFrame:
             "codec": track["codec"].strip(), "seconds": round(max(track["duration"], track["decode_time"]) / max(track["timescale"], 1), 6), "samples": len(track["sizes"]),
             "keyframes": len(keys), "first_range": keys[0].tolist(), "last_range": keys[-1].tolist(), "ranges_crc32": zlib.crc32(keys.astype("<i8").tobytes()),
         }
-        return doc_id, n_bytes, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(data), hashlib.sha256(data).hexdigest(), json.dumps(feature, sort_keys=True)
+        return doc_id, n_bytes, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(data), hashlib.sha256(data).hexdigest(), json.dumps(feature, sort_keys=True), keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in DIGEST.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")[:-1]]
         for batch in slices(batches, "media"):
             rows = [one(d, n, m) for d, n, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            ranges = np.concatenate([r[-1] for r in rows]).astype(np.int64)
+            offsets = np.cumsum([0, *(len(r[-1]) for r in rows)])
+            keyframes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(ranges[:, 0]), pa.array(ranges[:, 1])], names=["first", "end"]))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), keyframes], names=names)
 
     return media.mapInArrow(run, DIGEST)
 

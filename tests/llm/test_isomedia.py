@@ -1,6 +1,8 @@
 import hashlib
+import json
 import zlib
 
+import numpy as np
 import pytest
 
 from pulseframe.llm import isomedia as m
@@ -40,7 +42,10 @@ def test_digests_equal_plain_ones(which, request):
         padded = m.pad(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes) == (len(texts[r.doc_id]), len(padded))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-16:])
-        assert by_text.setdefault(padded, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        assert by_text.setdefault(padded, (r.media_sha256, r.feature, r.keyframes)) == (r.media_sha256, r.feature, r.keyframes)
+        told = json.loads(r.feature)
+        assert len(r.keyframes) == told["keyframes"] and list(r.keyframes[0]) == told["first_range"] and list(r.keyframes[-1]) == told["last_range"]
+        assert zlib.crc32(np.array([list(k) for k in r.keyframes], "<i8").tobytes()) == told["ranges_crc32"]
 
 
 def test_empty_table(no_docs):
