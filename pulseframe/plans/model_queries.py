@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..operators import align, evaluate, folded_trees, hinge, kernels, models, nested, perceptron, prepare, reports, resampling, series, stored_models, trials, validate, windows
+from ..operators import align, evaluate, folded_trees, hinge, kernels, models, nested, prepare, reports, resampling, series, stored_models, trials, validate, windows
+from ..operators import perceptron as networks
 from ..sources import versions
 from . import views as v
 from .register import query
@@ -462,7 +463,7 @@ def nested_support_vectors(s, d):
 @query("nested_perceptrons")
 def nested_perceptrons(s, d):
     """Perceptrons that stop early on held-out training subjects in all leave-one-subject-out folds; at most 10 epochs of small networks stand for the whole search."""
-    found = perceptron.nested_perceptrons(*_trial_vectors(s, d), [{"hidden": (8,), "alpha": 0.001, "rate": r} for r in (0.1, 0.03)], 2, epochs=10, patience=3)[0]
+    found = networks.nested_perceptrons(*_trial_vectors(s, d), [{"hidden": (8,), "alpha": 0.001, "rate": r} for r in (0.1, 0.03)], 2, epochs=10, patience=3)[0]
     return found.select("outer_fold", "parameter_index", "subject", "trial", "y_true", "y_pred", "source_sample_count", F.round(F.col("scores")[1], 6).alias("score"))
 
 
