@@ -166,7 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTE
     only its windows whose values are the item's, or that have no placeholders, count, and to SHARE alone. A pair is reported if
     alignments hold at least WINDOWS windows of the item, or SHARE of them, or all of a shorter item's. kind is `exact` if all placeholder values agree and
     `reparameterised` otherwise. Null and empty texts, texts and items under SHORTEST tokens match
-    nothing. Rows that share a doc_id count as one document. Empty tables give no rows.
+    nothing. Rows that share a doc_id count as one document. Of equally frequent values the item's own counts, then the greatest hash. A very long
+    text is one row of a batch of its own, all of its windows are compared. Empty tables give no rows. Other columns are not read.
     """
     # A window that an item repeats counts once, at its first place: else a repetitive item meets a repetitive
     # document in the product of their lengths.
@@ -212,10 +213,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTE
 
 
 def op3_template_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that they hold, of whole tables, as `contaminated` gives them."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no benchmark item, all columns unchanged; null doc_ids stay."""
+    """Pipeline stage: the documents that hold no benchmark item, all columns unchanged.
+
+    Rows with a null doc_id stay, so do null and empty texts. Rows that share a doc_id count as one document and go or stay together; repeated rows are kept
+    as often as they come. Very long texts are searched whole. An empty table stays empty, an empty benchmark drops nothing; further
+    columns are kept, also if they are called like a column of the matches."""
     bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

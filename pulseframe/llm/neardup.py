@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     connected components. Texts of fewer than five words have one shingle, all their words. Texts
     without words, empty and null ones are in a class with equal texts alone. Rows that share a doc_id are rows of
     their own, each with the class of its text; a null doc_id gets the class of its text's other rows, else null. An
-    empty table gives no rows. Columns besides doc_id and text are not read.
+    empty table gives no rows. A very long text is sampled whole, in a batch of its own. Columns besides doc_id and text are not read.
     """
     return classify(docs).select("doc_id", "class_id", "text_id")
 

@@ -393,7 +393,8 @@ def sample_segmentations(docs: DataFrame, path: str, draws: int = DRAWS, seed: i
 
     A text has fewer rows if it has fewer segmentations; a null or empty text has one, without pieces.
     A blank sign U+2581 in a text decodes to a blank, as in SentencePiece. Rows of the same doc_id and
-    text have equal results. Columns besides doc_id and text are not read.
+    text have equal results. A very long text is one row of a batch of its own, whose lattice is in the task's memory. An empty table gives
+    no rows. Columns besides doc_id and text are not read.
     """
     schema = "doc_id long, rank int, n_pieces long, ids_crc32 long, decoded_crc32 long, log_prob double, perturbed double, log_inclusion double" if digest else SCHEMA
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}

@@ -55,6 +55,17 @@ def test_hard_rows(spark, hard_docs):
     assert kept.columns == docs.columns
 
 
+def test_the_stage_keeps_rows_without_items(spark, no_docs):
+    """Null and empty texts, null and repeated doc_ids, columns called like those of the matches, no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(1, None, 1), (2, "", 2), (None, "plain words", 3), (None, item, 4), (4, "plain words", 5), (4, "plain words", 5), (5, "word " * 30000 + item, 6), (6, item, 7), (6, "plain words", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    kept = decontam.drop_contaminated(spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(r.item_id for r in kept.collect()) == [1, 2, 3, 4, 5, 5]
+    assert decontam.drop_contaminated(spark, no_docs, sf).count() == 0
+
+
 def test_exact_copies_of_short_and_literal_items(spark):
     items = ["one two three four five", "Carlos sold twelve ripe red apples", "17 + 25 + 38 + 41 = 121", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3", "Anna Berta Carla Dora Emma Frieda Gerda Hanna Ida Jana Karla Lena Maria"]
     items += ["Carlos sold twelve ripe red apples at noon"]
