@@ -358,6 +358,13 @@ def nearest_neighbours(s, d):
     return n.select("test_id", "train_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("neighbours_by_cells", f"""WITH {SQL_KNN} SELECT test_id, train_id, round(distance, 5) AS distance, row_number() OVER (PARTITION BY test_id ORDER BY distance, train_id) AS rank FROM pr QUALIFY rank <= 5""")
+def neighbours_by_cells(s, d):
+    """The same rows by pivots and bounds."""
+    n = models.nearest_by_cells(*_vectors(s, d), 5)
+    return n.select("test_id", "train_id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("neighbour_votes", f"""WITH {SQL_KNN}, nb AS (SELECT * FROM pr WHERE NOT own QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY distance, train_id) <= 5), vt AS (SELECT test_id, y, round(sum(1 / distance), 9) AS votes FROM nb GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY votes DESC, y) AS n FROM vt), m AS (SELECT test_id, avg(y) AS m FROM nb GROUP BY 1) SELECT test_id, y AS y_pred, round(m, 6) AS y_mean FROM b JOIN m USING (test_id) WHERE n = 1""")
 def neighbour_votes(s, d):
