@@ -61,8 +61,7 @@ def shared_beginnings():
     return rows + [(2001, t, "user", f"turn {t % 9}") for t in range(500)]
 
 
-@pytest.mark.parametrize("suffixes,turns", [(256, 1 << 16), (1, 1 << 16), (3, 40), (10**6, 5)])
-@pytest.mark.parametrize("which", ["hard", "shared", "table"])
+@pytest.mark.parametrize("which,suffixes,turns", [("hard", 256, 1 << 16), ("hard", 2, 1 << 16), ("shared", 256, 1 << 16), ("shared", 3, 40), ("shared", 10**6, 5), ("table", 1, 1 << 16)])
 def test_nodes_equal_the_definition(spark, which, suffixes, turns):
     if which == "table":
         rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
