@@ -25,7 +25,7 @@ from .textops import MIX2, mix, slices
 
 U = np.uint64
 BLANK, ZIPF_SHIFT = 0x2581, 8.0
-DRAWS, SEED, SLICE, PART = 2, 17, 1 << 20, 1 << 19  # bytes of text that share lattices, and drawn at once
+DRAWS, SEED, SLICE, PART = 2, 17, 1 << 19, 1 << 18  # bytes of text that share lattices, and drawn at once
 _MOST_CHARS = 1 << 21  # code points fit 21 bits
 
 
