@@ -21,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .store import table
-from .textops import MIX2, mix, slices
+from .textops import MIX2, give_back_memory, mix, slices
 
 U = np.uint64
 BLANK, ZIPF_SHIFT = 0x2581, 8.0
-DRAWS, SEED, SLICE, PART = 2, 17, 1 << 19, 1 << 18  # bytes of text that share lattices, and drawn at once
+DRAWS, SEED, SLICE = 2, 17, 1 << 19
+EPOCHS = 4  # of training on the pipeline's result, each with a segmentation of its own
 _MOST_CHARS = 1 << 21  # code points fit 21 bits
 
 
@@ -168,7 +169,6 @@ class Lattice:
             mass[here] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), begin))
         x = log_w + np.where(to_end, 0.0, mass[np.minimum(node + self.length, n - 1)]) - mass[node] if n else log_w
         degree = self.first[node + 1] - self.first[node] if n else node
-        self.degree = degree
         self.log_p = np.where(degree == 1, 0.0, np.minimum(x, 0.0))
         p = np.exp(self.log_p)
         running = np.cumsum(p)
@@ -383,29 +383,28 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
     return mix(values * MIX2 + mix(np.full(len(values), seed, dtype=np.uint64)))
 
 
-SCHEMA = "doc_id long, rank int, ids binary, log_prob double, perturbed double, log_inclusion double"
-
-
-def sample_segmentations(docs: DataFrame, path: str, draws: int = DRAWS, seed: int = SEED, digest: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, path: str, draws: int = DRAWS, seed: int = SEED, digest: bool = False, keep_ids: bool = False, most: int = SLICE) -> DataFrame:
     """Up to `draws` distinct segmentations of every whole text, rank 1 first: doc_id, rank, ids (little-endian
     unsigned 32-bit), log_prob, perturbed, log_inclusion. With `digest` the ids are replaced by n_pieces and
-    ids_crc32, and decoded_crc32 tells the bytes that decoding them gives.
+    ids_crc32, and decoded_crc32 tells the bytes that decoding them gives; with `keep_ids` they stay beside these.
+    Texts of `most` bytes share lattices, and half as many are drawn at once: less takes less memory and more time.
 
     A text has fewer rows if it has fewer segmentations; a null or empty text has one, without pieces.
     A blank sign U+2581 in a text decodes to a blank, as in SentencePiece. Rows of the same doc_id and
     text have equal results. A very long text is one row of a batch of its own, whose lattice is in the task's memory. An empty table gives
     no rows. Columns besides doc_id and text are not read.
     """
-    schema = "doc_id long, rank int, n_pieces long, ids_crc32 long, decoded_crc32 long, log_prob double, perturbed double, log_inclusion double" if digest else SCHEMA
+    whole = keep_ids or not digest
+    schema = f"doc_id long, rank int, {'ids binary, ' * whole}{'n_pieces long, ids_crc32 long, decoded_crc32 long, ' * digest}log_prob double, perturbed double, log_inclusion double"
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
     names, types = zip(*((x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=most):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             made, keys, ids_of = Batch(vocab, texts), row_keys(batch.column("doc_id"), seed), batch.column("doc_id").to_pylist()
-            part = np.cumsum([len(x) for x in texts]) // PART
+            part = np.cumsum([len(x) for x in texts]) // (most // 2)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 rows = []
@@ -414,8 +413,11 @@ def sample_segmentations(docs: DataFrame, path: str, draws: int = DRAWS, seed: i
                         ids = made.ids(arcs)
                         raw = ids.astype("<u4").tobytes()
                         scores = [round(x, 6) for x in scores]  # beyond that they depend on the order of sums
-                        rows.append((doc, rank, len(ids), zlib.crc32(raw), zlib.crc32(vocab.decode(ids)), *scores) if digest else (doc, rank, raw, *scores))
+                        sums = (len(ids), zlib.crc32(raw), zlib.crc32(vocab.decode(ids))) if digest else ()
+                        rows.append((doc, rank, *([raw] if whole else ()), *sums, *scores))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), types)], names=list(names))
+            del made, rows, found, arcs  # before the next slice's lattices
+            give_back_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -440,10 +442,11 @@ def op5_gumbel_segmentations(spark, sf_dir: str) -> DataFrame:
     return sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
-def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the segmentations of every document that is left, in one pass without a shuffle. Null and empty texts have
-    one without pieces; repeated rows each keep theirs; a very long text is worked on in parts of its lattice, all of which are in
-    memory; an empty table gives no rows; further columns are not read."""
+def encode_stage(spark, docs: DataFrame, sf_dir: str, draws: int = EPOCHS) -> DataFrame:
+    """Last pipeline stage: every document that is left as piece ids, `draws` distinct segmentations of each (fewer if it has fewer)
+    with their digests and scores, in one pass without a shuffle. From the third on the search chooses among the sets of all paths
+    found before. Null and empty texts have one segmentation without pieces; repeated rows each keep theirs; a very long text is
+    worked on in parts of its lattice, all of which are in memory; an empty table gives no rows; further columns are not read."""
     import public_tokenizers
 
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), draws, digest=True, keep_ids=True, most=SLICE // 2)

@@ -95,5 +95,37 @@ def test_decoding_rows(spark, vocab):
     assert {(r.doc_id, r.text) for r in rows} == {(1, "two words"), (2, "tab\there ☃"), (3, "")}
 
 
+def test_the_stage_keeps_the_pieces(spark, vocab, hard_docs):
+    """All ids are in the result, decode to the whole texts and agree with their digests."""
+    texts = {r.doc_id: (r.text or "") for r in hard_docs.select("doc_id", "text").collect()}
+    rows = pieces.encode_stage(spark, hard_docs, "")
+    found = {}
+    for r in pieces.decode_ids(rows, PATH).collect():
+        assert r.text == texts[r.doc_id].replace("▁", " ")
+        assert r.n_pieces == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids) and r.decoded_crc32 == zlib.crc32(r.text.encode())
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(found) == set(texts)
+    for d, own in found.items():
+        own.sort(key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, len(own) + 1)) and len({bytes(r.ids) for r in own}) == len(own)
+        assert [r.perturbed for r in own] == sorted((r.perturbed for r in own), reverse=True)
+        known = len(all_paths(vocab, texts[d])) if 0 < len(texts[d]) < 6 else 4 if texts[d] else 1
+        assert len(own) == min(known, 4)
+    assert pieces.encode_stage(spark, hard_docs.limit(0), "").columns == rows.columns
+
+
+def test_the_third_draw_searches_all_paths(vocab):
+    """With two draws only the first path's sets can be opened; further ones open those of later paths and shut sets again."""
+    keys = pieces.mix(np.arange(200, dtype=np.uint64))
+    made = pieces.Batch(vocab, ["the cat"] * len(keys))
+    root = [f[0][0].tolist() for f in made.draw(keys, 2)]
+    branches = 0
+    for first, found in zip(root, made.draw(keys, pieces.EPOCHS)):
+        shared = [[next(i for i, (x, y) in enumerate(zip(a, b)) if x != y) for a in (f[0].tolist() for f in found[:k])] for k, b in enumerate((f[0].tolist() for f in found)) if k]
+        assert found[0][0].tolist() == first
+        branches += any(max(at) > at[0] for at in shared[1:])
+    assert branches > 0
+
+
 def test_empty_table(no_docs):
     assert pieces.sample_segmentations(no_docs, PATH, 2).count() == 0

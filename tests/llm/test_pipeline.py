@@ -74,5 +74,18 @@ def test_stages_against_brute_force(spark, steps):
             assert d not in at["decontamination"]
 
 
+def test_the_result_holds_every_text_as_pieces(spark, steps):
+    from pulseframe.llm import pieces
+    import public_tokenizers
+
+    at = dict(steps)
+    texts = {r.doc_id: (r.text or "") for r in at["decontamination"].select("doc_id", "text").collect()}
+    count = {}
+    for r in pieces.decode_ids(at["segmentation"], public_tokenizers.path("piece_bpe_32k.model")).collect():
+        assert r.text == texts[r.doc_id].replace("▁", " ")
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    assert all(count[d] == pieces.EPOCHS for d, t in texts.items() if len(t) > 20)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
