@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import deviation
+
 Keys = list[str]
 
 
@@ -108,7 +110,7 @@ def row_shapes(df: DataFrame, keys: Keys, row: str, channels: Column | None = No
 
 def zero_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns whose known values have population std 0, in one pass."""
-    wide = df.agg(*[F.stddev_pop(c).alias(c) for c in columns])
+    wide = df.agg(*[deviation(c).alias(c) for c in columns])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("std")) for c in columns]))
     return wide.select(rows.alias("r")).select("r.*").filter("std = 0")
 

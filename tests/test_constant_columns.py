@@ -14,3 +14,8 @@ def test_constant_columns_are_found(spark):
     assert prepare.constant_columns(parts(spark), ["three", "quarter", "tenth", "none", "nan", "id"]) == ["three", "quarter", "tenth", "none"]
     flat = prepare.standardise(parts(spark), parts(spark), ["quarter", "tenth"]).agg(F.max(F.abs("quarter")), F.max(F.abs("tenth"))).first()
     assert max(flat) < 1e-9
+
+
+def test_zero_variance_finds_them(spark):
+    found = validate.zero_variance(parts(spark), ["three", "quarter", "tenth", "none", "nan", "id"]).collect()
+    assert sorted((r.column, r.std) for r in found) == [("quarter", 0.0), ("tenth", 0.0), ("three", 0.0)]
