@@ -100,8 +100,9 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_store(samples: DataFrame, trials: DataFrame, index: DataFrame, path: str) -> None:
-    """The signal store: samples by subject, sorted by series within; trials and the series index beside."""
-    samples.repartition("subject", "signal").sortWithinPartitions("signal", "pos").write.partitionBy("subject").parquet(f"{path}/samples")
+    """The signal store: samples by series, sorted within; trials and the series index beside. A file holds a range of series, so files follow
+    the data's size and not the number of subjects, and a reader of one subject is led by the files' bounds."""
+    samples.repartitionByRange("subject", "signal").sortWithinPartitions("subject", "signal", "pos").write.parquet(f"{path}/samples")
     trials.write.parquet(f"{path}/trials")
     index.write.parquet(f"{path}/signals")
 
