@@ -447,3 +447,15 @@ def test_resume_refuses_other_hashes(spark):
     assert align.resume(work, work.filter("unit < 2"), ["unit"], ["config", "split"]).count() == 2
     with pytest.raises(validate.InvalidTable, match="split"):
         align.resume(work, work.filter("unit < 2").withColumn("split", F.lit("t")), ["unit"], ["config", "split"])
+
+
+def test_shapley_values_meet_once_per_row(spark):
+    """No window over the rounds of a row: predictions are added up before the one shuffle of the rows."""
+    df = spark.createDataFrame([(i, float(i), float(i * i), f"f{i % 2}") for i in range(8)], "id long, a double, b double, fold string")
+    back = spark.createDataFrame([(f, b, float(b), 1.0) for f in ("f0", "f1") for b in range(3)], "fold string, _b int, _b_a double, _b_b double")
+    v = reports.shapley_values(df, "id", ["a", "b"], back, lambda x: x.withColumn("y_pred", F.col("a") * F.col("b")), 3, fold="fold")
+    assert "Window" not in v._jdf.queryExecution().optimizedPlan().toString()
+    rows = v.collect()
+    assert sorted((r.id, r.feature) for r in rows) == [(i, f) for i in range(8) for f in "ab"]
+    with_idle = reports.shapley_values(df.withColumn("c", F.lit(1.0)), "id", ["a", "b", "c"], back.withColumn("_b_c", F.lit(2.0)), lambda x: x.withColumn("y_pred", F.col("a") + 10 * F.col("b")), 3, fold="fold")
+    assert with_idle.filter("feature = 'c' and abs(value) > 1e-9").count() == 0 and with_idle.filter("feature = 'a' and value > id + 1e-9").count() == 0
