@@ -459,3 +459,24 @@ def test_shapley_values_meet_once_per_row(spark):
     assert sorted((r.id, r.feature) for r in rows) == [(i, f) for i in range(8) for f in "ab"]
     with_idle = reports.shapley_values(df.withColumn("c", F.lit(1.0)), "id", ["a", "b", "c"], back.withColumn("_b_c", F.lit(2.0)), lambda x: x.withColumn("y_pred", F.col("a") + 10 * F.col("b")), 3, fold="fold")
     assert with_idle.filter("feature = 'c' and abs(value) > 1e-9").count() == 0 and with_idle.filter("feature = 'a' and value > id + 1e-9").count() == 0
+
+
+def test_permuted_rows_are_matched_once(spark):
+    """All turns of a row come from one join by its place in the fold, with the values that the rows in hashed order lend."""
+    import hashlib
+
+    rows = [(f"r{i:02d}", f"k{i % 2}", float(i), None if i == 3 else -float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, k string, a double, b double")
+    out = reports.permuted(df, "id", ["a", "b"], 2, ["k"])
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "feature" not in joins[0] and "repeat" not in joins[0]
+    got = {(r.id, r.feature, r.repeat): (r.a, r.b) for r in out.collect()}
+    hashed = lambda f, k, i: int(hashlib.sha256(f"permute|{f}|{k}|{i}".encode()).hexdigest()[:8], 16)
+    for fold in ("k0", "k1"):
+        own = sorted(r for r in rows if r[1] == fold)
+        for n, f in ((2, "a"), (3, "b")):
+            for k in range(2):
+                lend = sorted(own, key=lambda r: (hashed(f, k, r[0]), r[0]))
+                for r, other in zip(own, lend):
+                    assert got[r[0], f, k] == ((other[n], r[3]) if f == "a" else (r[2], other[n]))
+    assert len(got) == 48
